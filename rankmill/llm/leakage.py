@@ -96,24 +96,41 @@ class WindowIndex:
         return pairs // len(own), pairs % len(own)
 
 
-def leaks_in(texts: list[str | None], index: WindowIndex, bits_of: dict[str, int], votes: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+class Votes:
+    """The 64 votes of each distinct word met so far; starts anew beyond MAX_WORDS."""
+
+    MAX_WORDS = 200_000
+
+    def __init__(self) -> None:
+        self.code: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, 64), dtype=np.int8)
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        if len(self.code) > self.MAX_WORDS:
+            self.code.clear()
+        out = []
+        for w in words:
+            c = self.code.get(w)
+            if c is None:
+                c = self.code[w] = len(self.code)
+                if c >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[c] = word_bits(w)
+            out.append(c)
+        return np.array(out, dtype=np.int64)
+
+
+def leaks_in(texts: list[str | None], index: WindowIndex, votes: Votes, similarity: float, radius: int) -> list[tuple[int, int]]:
     """(position of text, item) for each item of which the text holds a window that is at least ``similarity`` alike; 1.0: the same words."""
     words: list[str] = []
     doc: list[np.ndarray] = []
-    codes: list[int] = []
     for i, t in enumerate(texts):
         own = words_of(t)
         doc.append(np.full(len(own), i, dtype=np.int32))
         words += own
-        for w in own:
-            c = bits_of.get(w)
-            if c is None:
-                c = bits_of[w] = len(votes)
-                votes.append(word_bits(w).astype(np.int8))
-            codes.append(c)
     if not words:
         return []
-    doc_of, code, table = np.concatenate(doc), np.array(codes), np.array(votes)
+    doc_of, code, table = np.concatenate(doc), votes.codes(words), votes.table
     found: set[tuple[int, int]] = set()
     for size, (ids, windows, _, _) in index.sizes.items():
         for at in range(0, len(code), STEP):
@@ -133,7 +150,7 @@ def leaks_in(texts: list[str | None], index: WindowIndex, bits_of: dict[str, int
     return sorted(found)
 
 
-_indexes: dict[str, tuple[WindowIndex, dict, list]] = {}
+_indexes: dict[str, tuple[WindowIndex, Votes]] = {}
 
 
 def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, similarity: float = 0.8, radius: int = RADIUS, index_windows: int = INDEX_WINDOWS) -> DataFrame:
@@ -165,15 +182,12 @@ def _scanner(sent, key: str, similarity: float, radius: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _indexes:
             _indexes.clear()
-            _indexes[key] = (sent.value, {}, [])
-        index, bits_of, votes = _indexes[key]
+            _indexes[key] = (sent.value, Votes())
+        index, votes = _indexes[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                if len(votes) > 200_000:
-                    bits_of.clear()
-                    votes.clear()
                 part = batch.slice(at, 1000)
-                pairs = leaks_in(part.column(1).to_pylist(), index, bits_of, votes, similarity, radius)
+                pairs = leaks_in(part.column(1).to_pylist(), index, votes, similarity, radius)
                 if pairs:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([p[0] for p in pairs])), pa.array([p[1] for p in pairs], pa.int64())], names=["d", "i"])
 
