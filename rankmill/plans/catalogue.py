@@ -2,10 +2,326 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankmill.functions import text as X
+from rankmill.operators import analysis, bm25, dense, metrics, prep, rerank, runs, significance
+from rankmill.operators.storage import load, materialize
+
+KS = (5, 10, 20, 50, 100)
+GRID = (5, 10, 20, 50)
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "corpus")
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "queries")
+
+
+def _qrels(spark: SparkSession, d: str) -> DataFrame:
+    return prep.one_judgment(load(spark, d, "qrels"))
+
+
+def _stage(spark: SparkSession, d: str, stage: str) -> DataFrame:
+    return runs.run_of_stage(load(spark, d, "runs"), stage)
+
+
+def _fused(spark: SparkSession, d: str, top_k: int = 20) -> DataFrame:
+    return runs.reciprocal_rank_fusion([_stage(spark, d, "bm25"), _stage(spark, d, "dense")], 60, top_k)
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).select("doc_id", "title", F.col("text_raw").alias("abstract"), "corpus_ord")
+
+
+def _scored(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    return rerank.score_pool(_fused(spark, d, k), _queries(spark, d), _corpus(spark, d), rerank.OverlapScorer(), k)
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """First-stage pool and its reranking; written once, as several operators read both."""
+    scored = materialize(_scored(spark, d), "scored")
+    return scored.select("query_id", "doc_id", F.col("stage1_rank").alias("rank")), rerank.rerank_scored(scored, 20).select("query_id", "doc_id", "rank")
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    one, two = _both(spark, d)
+    return analysis.rank_deltas(one, two, _qrels(spark, d), _queries(spark, d), _corpus(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    one, two = _both(spark, d)
+    q = _qrels(spark, d)
+    return metrics.paired(metrics.evaluate(one, q), metrics.evaluate(two, q))
+
+
+# --- preparation
+
+
+def markup_stripped(spark, d):
+    return _corpus(spark, d).select("doc_id", X.collapse_space(X.strip_markup(X.blank_null(F.col("text_raw")))).alias("text"))
+
+
+def clean_text(spark, d):
+    return prep.clean_corpus(_raw(spark, d), with_title=False).select("doc_id", "title", "text_raw", "text_norm", "dedup_key")
+
+
+def prepared_corpus(spark, d):
+    return prep.prepare_corpus(_raw(spark, d), with_title=False).select("doc_id", "title", "text_raw", "n_tokens", "has_abbrev")
+
+
+def dedup_keep_first(spark, d):
+    keyed = _corpus(spark, d).select("doc_id", "corpus_ord", X.dedup_key(X.blank_null(F.col("title")), X.blank_null(F.col("text_norm"))).alias("dedup_key"))
+    return prep.keep_first(keyed, "dedup_key", "corpus_ord")
+
+
+def token_stats(spark, d):
+    t = F.col("text_raw")
+    return _corpus(spark, d).select("doc_id", X.white_tokens(t).alias("n_white"), F.size(X.tokens(t)).alias("n_terms"), F.size(X.content_words(t)).alias("n_content"))
+
+
+def abbrev_flag(spark, d):
+    return _corpus(spark, d).select("doc_id", X.has_abbreviation(F.col("text_raw")).alias("has_abbrev_now"), X.abbreviations(F.col("title")).alias("title_abbrevs"))
+
+
+def length_summary(spark, d):
+    own = _corpus(spark, d).select(X.white_tokens(F.col("text_raw")).alias("n_tokens"))
+    return prep.length_summary(own).select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "p95", "pct_over")], F.col("max").alias("n_max"), F.col("min").alias("n_min"))
+
+
+def prep_counters(spark, d):
+    corpus = _corpus(spark, d)
+    kept = prep.keep_first(corpus.select("doc_id", "corpus_ord", "text_raw", X.dedup_key(X.blank_null(F.col("title")), X.blank_null(F.col("text_norm"))).alias("dedup_key")), "dedup_key", "corpus_ord")
+    return prep.prep_counters(_raw(spark, d), kept.select("doc_id", X.has_abbreviation(F.col("text_raw")).alias("has_abbrev"))).withColumn("pct_abbrev", F.round("pct_abbrev", 6))
+
+
+def queries_semi(spark, d):
+    return _queries(spark, d).join(load(spark, d, "qrels").select("query_id").distinct(), "query_id", "left_semi").select("query_id", "query_raw")
+
+
+def prepared_queries(spark, d):
+    return prep.prepare_queries(_queries(spark, d).select("query_id", F.col("query_raw").alias("query_text")), load(spark, d, "qrels"))
+
+
+def qrels_semi(spark, d):
+    return prep.prepare_qrels(load(spark, d, "qrels"), _corpus(spark, d))
+
+
+def queries_with_several_judgments(spark, d):
+    return prep.queries_with_several_judgments(load(spark, d, "qrels"))
+
+
+def ambiguous_abbrevs(spark, d):
+    return prep.ambiguous_abbreviations(_corpus(spark, d).where("text_raw IS NOT NULL"))
+
+
+# --- first stage
+
+
+def term_df_idf(spark, d):
+    return bm25.build(_corpus(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def bm25_scores(spark, d):
+    index = bm25.build(_corpus(spark, d))
+    return bm25.scores(_corpus(spark, d), _queries(spark, d), index)
+
+
+def bm25_topk(spark, d):
+    found = bm25.search(_corpus(spark, d), _queries(spark, d), bm25.build(_corpus(spark, d)), 20)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def dense_topk(spark, d):
+    vectors = load(spark, d, "embeddings")
+    return dense.search(vectors, vectors.where("vec_id % 100 = 0"), 20, "vec_id", "vec_id")
+
+
+def rrf_hybrid_topk(spark, d):
+    return _fused(spark, d).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+def hybrid_topk(spark, d):
+    own = bm25.search(_corpus(spark, d), _queries(spark, d), bm25.build(_corpus(spark, d)), 100)
+    return runs.reciprocal_rank_fusion([own, _stage(spark, d, "dense")], 60, 20).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+def packed_runs(spark, d):
+    return runs.pack(_stage(spark, d, "hybrid")).select("query_id", F.array_join("docs", " ").alias("docs"))
+
+
+def unpacked_runs(spark, d):
+    return runs.unpack(runs.pack(_stage(spark, d, "hybrid")), "hybrid")
+
+
+# --- second stage
+
+
+def rerank_overlap_topk(spark, d):
+    return rerank.rerank_scored(_scored(spark, d), 20).select("query_id", "doc_id", "rank", "score", "n_tokens_before_truncation", "was_truncated")
+
+
+def truncation_rate(spark, d):
+    return rerank.truncation_rate(_scored(spark, d)).withColumn("truncation_pct", F.round("truncation_pct", 9))
+
+
+def pair_trace(spark, d):
+    t = rerank.pair_trace(_fused(spark, d), _queries(spark, d), _corpus(spark, d), rerank.OverlapScorer())
+    return t.select("query_id", "doc_id", F.size("input_ids").alias("n_ids"), F.array_join("tokens", " ").alias("tokens"), "n_tokens_before_truncation", "was_truncated", "logit")
+
+
+def grid_k(spark, d):
+    scored = materialize(_scored(spark, d, max(GRID)), "scored")
+    rows = rerank.grid({"overlap": scored}, _qrels(spark, d), scored.select("query_id").distinct(), GRID)
+    return rows.select("model", "k", F.round("ndcg", 9).alias("ndcg"), F.round("mrr", 9).alias("mrr"), "n_queries")
+
+
+# --- evaluation
+
+_METRICS = ("precision", "precision_ceiling", "recall", "mrr", "ndcg")
+
+
+def _rounded(df: DataFrame, names=_METRICS) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, F.round(n, 9))
+    return df
+
+
+def metrics_per_query(spark, d):
+    return _rounded(metrics.evaluate(_stage(spark, d, "hybrid"), _qrels(spark, d)))
+
+
+def metrics_unjudged_too(spark, d):
+    return _rounded(metrics.evaluate(_stage(spark, d, "bm25"), _qrels(spark, d), 10, _queries(spark, d).select("query_id"), skip_unjudged=False))
+
+
+def metrics_aggregate(spark, d):
+    out = None
+    for stage in ("bm25", "dense", "hybrid"):
+        row = metrics.aggregate(metrics.evaluate(_stage(spark, d, stage), _qrels(spark, d))).withColumn("method", F.lit(stage))
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out, (*_METRICS, "precision_pct_of_ceiling"))
+
+
+def recall_ceiling(spark, d):
+    return _rounded(metrics.recall_ceiling(_stage(spark, d, "hybrid"), _qrels(spark, d), KS), ("recall", "pct_queries_with_hit"))
+
+
+def recall_ceiling_pivot(spark, d):
+    stages = ("bm25", "dense", "hybrid")
+    return _rounded(metrics.pivot_methods({s: metrics.recall_ceiling(_stage(spark, d, s), _qrels(spark, d), KS) for s in stages}), stages)
+
+
+def per_query_deltas(spark, d):
+    return _rounded(_pairs(spark, d), ("stage1", "stage2", "delta"))
+
+
+def compare_runs(spark, d):
+    return _rounded(metrics.compare(_pairs(spark, d)), ("baseline_mean", "treatment_mean", "mean_delta", "pct_improved", "pct_degraded"))
+
+
+def wilcoxon_stats(spark, d):
+    return _rounded(significance.wilcoxon_sums(_pairs(spark, d), digits=9), ("z",))
+
+
+def wilcoxon_p(spark, d):
+    return significance.wilcoxon(_pairs(spark, d))
+
+
+def bootstrap_hash_ci(spark, d):
+    rows = _pairs(spark, d).withColumn("row", F.substring("query_id", 2, 20).cast("long"))
+    return significance.bootstrap_hash(rows)
+
+
+def bootstrap_replay_ci(spark, d):
+    return significance.bootstrap_replay(_pairs(spark, d), 2000)
+
+
+# --- analysis
+
+
+def rank_delta_table(spark, d):
+    return _deltas(spark, d)
+
+
+def ndcg_delta(spark, d):
+    one, two = _both(spark, d)
+    return _rounded(analysis.ndcg_deltas(one, two, _qrels(spark, d)), ("ndcg_stage1", "ndcg_ce", "ndcg_delta"))
+
+
+def _cases(spark, d):
+    one, two = _both(spark, d)
+    q = _qrels(spark, d)
+    deltas = materialize(analysis.rank_deltas(one, two, q, _queries(spark, d), _corpus(spark, d)), "deltas")
+    return deltas, analysis.select_cases(deltas, analysis.ndcg_deltas(one, two, q), _queries(spark, d))
+
+
+def case_selection(spark, d):
+    return _cases(spark, d)[1]
+
+
+def case_evidence(spark, d):
+    return analysis.case_evidence(*_cases(spark, d)).select("case", "query_id", "row", "doc_id", "rank_stage1", "rank_ce", "delta", "is_relevant")
+
+
+def lexical_mismatch(spark, d):
+    return analysis.lexical_mismatch(_stage(spark, d, "bm25"), _stage(spark, d, "dense"), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
+
+
+def semantic_drift(spark, d):
+    return analysis.semantic_drift(_stage(spark, d, "dense"), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
+
+
+def worst5(spark, d):
+    return _rounded(analysis.worst(_pairs(spark, d)), ("stage1", "stage2", "delta"))
+
+
+def _failures(spark, d):
+    one, two = _both(spark, d)
+    q = _qrels(spark, d)
+    deltas = analysis.rank_deltas(one, two, q, _queries(spark, d), _corpus(spark, d))
+    pairs = metrics.paired(metrics.evaluate(one, q), metrics.evaluate(two, q))
+    return analysis.classify_failures(analysis.worst(pairs), deltas, _queries(spark, d), _corpus(spark, d))
+
+
+def failure_causes(spark, d):
+    return _failures(spark, d)
+
+
+def cause_histogram(spark, d):
+    return analysis.cause_histogram(_failures(spark, d))
+
+
+def truncated_relevant(spark, d):
+    return analysis.truncated_relevant(_deltas(spark, d))
+
+
+def latency_summary(spark, d):
+    """Median, p95, mean, least and most of logged values by kind of event."""
+    v = F.col("value")
+    return load(spark, d, "events").groupBy("event_type").agg(
+        F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.avg(v), 6).alias("mean"),
+        F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.count(v).alias("n_runs"),
+    )
+
 
 def queries() -> dict:
-    return {}
+    return {
+        f.__name__: f
+        for f in (
+            markup_stripped, clean_text, prepared_corpus, dedup_keep_first, token_stats, abbrev_flag, length_summary, prep_counters, queries_semi, prepared_queries, qrels_semi,
+            queries_with_several_judgments, ambiguous_abbrevs, term_df_idf, bm25_scores, bm25_topk, dense_topk, rrf_hybrid_topk, hybrid_topk, packed_runs, unpacked_runs,
+            rerank_overlap_topk, truncation_rate, pair_trace, grid_k, metrics_per_query, metrics_unjudged_too, metrics_aggregate, recall_ceiling, recall_ceiling_pivot,
+            per_query_deltas, compare_runs, wilcoxon_stats, wilcoxon_p, bootstrap_hash_ci, bootstrap_replay_ci, rank_delta_table, ndcg_delta, case_selection, case_evidence,
+            lexical_mismatch, semantic_drift, worst5, failure_causes, cause_histogram, truncated_relevant, latency_summary,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rankmill.plans.oracle import SQL
+
+    return SQL
