@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from rankmill.functions.text import content_words, tokens
 from rankmill.operators.metrics import aggregate, evaluate
 from rankmill.operators.runs import rank_rows
+from rankmill.operators.storage import spread
 
 
 class PairScorer(Protocol):
-    """Columns for a (query, text) pair: a score, and the number of tokens before truncation."""
+    """Columns for (query, text) pairs, from features that are computed once per query and once per text, before they are paired."""
 
     name: str
     max_length: int
 
+    def features(self, text: Column) -> Column: ...
+
     def score(self, query: Column, text: Column) -> Column: ...
 
-    def n_tokens(self, query: Column, text: Column) -> Column: ...
+    def n_tokens(self, query: Column, text: Column) -> Column:
+        """Length of the pair before truncation."""
 
 
 class OverlapScorer:
@@ -33,14 +37,16 @@ class OverlapScorer:
     def __init__(self, max_length: int = 512, bonus: float = 0.1) -> None:
         self.max_length, self.bonus = max_length, bonus
 
+    def features(self, text: Column) -> Column:
+        return F.struct(content_words(text).alias("words"), F.size(tokens(text)).alias("n"))
+
     def score(self, query: Column, text: Column) -> Column:
-        words = content_words(query)
-        share = F.size(F.array_intersect(words, content_words(text))) / F.greatest(F.size(words), F.lit(1))
-        return share + self.bonus / (1.0 + F.size(tokens(text)))
+        share = F.size(F.array_intersect(query["words"], text["words"])) / F.greatest(F.size(query["words"]), F.lit(1))
+        return share + self.bonus / (1.0 + text["n"])
 
     def n_tokens(self, query: Column, text: Column) -> Column:
         """Both texts' tokens and three special ones."""
-        return F.size(tokens(query)) + F.size(tokens(text)) + 3
+        return query["n"] + text["n"] + 3
 
 
 class ModelScorer:
@@ -71,6 +77,9 @@ class ModelScorer:
         run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "score double, n int")
 
+    def features(self, text: Column) -> Column:
+        return F.coalesce(text, F.lit(""))
+
     def score(self, query: Column, text: Column) -> Column:
         return self._udf(query, text)["score"]
 
@@ -92,8 +101,9 @@ def score_pool(pool: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: P
     Candidates that the corpus lacks are dropped.
     """
     pairs = pool.where(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").alias("stage1_rank"))
-    texts = pairs.join(queries.select("query_id", F.coalesce("query_raw", F.lit("")).alias("q")), "query_id").join(corpus.select("doc_id", F.coalesce("text_raw", F.lit("")).alias("t")), "doc_id")
-    scored = texts.select("query_id", "doc_id", "stage1_rank", F.round(scorer.score(F.col("q"), F.col("t")), digits).alias("score"), scorer.n_tokens(F.col("q"), F.col("t")).alias("n_tokens_before_truncation"))
+    q = spread(queries.select("query_id", F.col("query_raw").alias("q"))).select("query_id", scorer.features(F.col("q")).alias("q"))
+    t = spread(corpus.select("doc_id", F.col("text_raw").alias("t"))).select("doc_id", scorer.features(F.col("t")).alias("t"))
+    scored = pairs.join(q, "query_id").join(t, "doc_id").select("query_id", "doc_id", "stage1_rank", F.round(scorer.score(F.col("q"), F.col("t")), digits).alias("score"), scorer.n_tokens(F.col("q"), F.col("t")).alias("n_tokens_before_truncation"))
     return scored.withColumn("was_truncated", F.col("n_tokens_before_truncation") > scorer.max_length)
 
 

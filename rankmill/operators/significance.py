@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.operators.skew import HOT_SHARE, lookup, rank_in_groups
+from rankmill.operators.storage import materialize
 
 
 def normal_p(z: float) -> float:
@@ -26,6 +27,7 @@ def signed_ranks(deltas: DataFrame, delta: str = "delta", digits: int | None = N
     """
     d = F.col(delta) if digits is None else F.round(delta, digits)
     rows = deltas.select(d.alias("d")).where("d <> 0 AND NOT isnan(d)").withColumn("a", F.abs("d")).withColumn("one", F.lit(1))
+    rows = materialize(rows, "deltas")  # read three times below
     ranked = rank_in_groups(rows, ["one"], "a", "down")
     total, ties = rows.count(), rows.groupBy("a").agg(F.count("*").alias("t"))
     tied = lookup(ranked, ties, ["a"], F.col("t") >= F.lit(HOT_SHARE * total))

@@ -40,3 +40,15 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Inputs of up to so many bytes come in fewer scan tasks than there are cores.
+SMALL_INPUT = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly work per row, if the plan's size estimate says that its scan is a task or two; larger inputs stay as they are."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
