@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.operators.storage import spread
+
 WINDOW = 12
 RADIUS = 3
 BLOCKS = 4
@@ -168,7 +170,7 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # a word and a separator take two characters at least
     passes = max(1, int(total // index_windows) + 1) if total > index_windows else 1
-    docs = documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t <> ''")
+    docs = spread(documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t <> ''"))
     found = None
     for k in range(passes):
         block = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).toLocalIterator()]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.operators.storage import spread
+
 # Common function words and auxiliaries of the corpus's languages, which sentences can't do without.
 FUNCTION_WORDS = frozenset(
     # English
@@ -175,4 +177,4 @@ def stuffed_pages(df: DataFrame, item: str, text: str, more_than: float = STUFFE
             keep = [stuffed_share(t) > more_than for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=[item])
 
-    return df.where(F.col(item).isNotNull() & (F.col(text) != "")).select(F.col(item), F.col(text).alias("__text")).mapInArrow(judge, f"`{item}` {kind}")
+    return spread(df.where(F.col(item).isNotNull() & (F.col(text) != "")).select(F.col(item), F.col(text).alias("__text"))).mapInArrow(judge, f"`{item}` {kind}")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.operators.storage import spread
+
 # Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker keeps encoded; beyond it the store starts anew.
@@ -214,4 +216,4 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str, ids: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[item, ids])
 
-    return df.select(F.col(item), F.col(text).alias("__text")).mapInArrow(encode, f"`{item}` {kind}, `{ids}` array<int>")
+    return spread(df.select(F.col(item), F.col(text).alias("__text"))).mapInArrow(encode, f"`{item}` {kind}, `{ids}` array<int>")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.operators.storage import materialize
+from rankmill.operators.storage import materialize, spread
 
 # Letters and hyphens whose glyph is that of an ASCII character in common fonts
 # (from the public confusables data of Unicode Technical Standard 39), by script.
@@ -107,7 +107,7 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     like two rows would, once. Groups with one stored spelling are dropped, by a
     pre-aggregated minimum and maximum, before rows meet.
     """
-    rows = texts.where((F.col("text") != "") & F.col("id").isNotNull())
+    rows = spread(texts.where((F.col("text") != "") & F.col("id").isNotNull()))
     keyed = rows.select("kind", "id", F.unhex(F.sha2(visible(F.col("text")), 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("raw"))
     keyed = materialize(keyed.distinct(), "forms")  # each text is normalised once, for both uses below
     several = keyed.groupBy("kind", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("kind", "form")
