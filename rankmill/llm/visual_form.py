@@ -105,13 +105,18 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     since case can be seen. Only hashes are shuffled. Null and empty texts have no pairs;
     copies that are equal strings make no pair with each other; an id that stands twice pairs
     like two rows would, once. Groups with one stored spelling are dropped, by a
-    pre-aggregated minimum and maximum, before rows meet.
+    pre-aggregated minimum and maximum. Distinct spellings are paired first and rows are joined to
+    these pairs, so that each intermediate row leads to a row of the result: a text
+    that a third of all rows repeat is never compared with its own copies.
     """
     rows = spread(texts.where((F.col("text") != "") & F.col("id").isNotNull()))
     keyed = rows.select("kind", "id", F.unhex(F.sha2(visible(F.col("text")), 256)).alias("form"), F.unhex(F.sha2("text", 256)).alias("raw"))
     keyed = materialize(keyed.distinct(), "forms")  # each text is normalised once, for both uses below
     several = keyed.groupBy("kind", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("kind", "form")
     own = keyed.join(several, ["kind", "form"], "left_semi")
-    left = own.select("kind", "form", F.col("id").alias("id_1"), F.col("raw").alias("raw_1"))
-    right = own.select("kind", "form", F.col("id").alias("id_2"), F.col("raw").alias("raw_2"))
-    return left.join(right, ["kind", "form"]).where("raw_1 <> raw_2 AND id_1 < id_2").select("kind", "id_1", "id_2").distinct()
+    spellings = own.select("kind", "form", "raw").distinct()
+    one, two = spellings.withColumnRenamed("raw", "raw_1"), spellings.withColumnRenamed("raw", "raw_2")
+    both = one.join(two, ["kind", "form"]).where("raw_1 < raw_2").drop("form")
+    first, second = own.select("kind", F.col("raw").alias("raw_1"), F.col("id").alias("x")), own.select("kind", F.col("raw").alias("raw_2"), F.col("id").alias("y"))
+    rows = both.join(first, ["kind", "raw_1"]).join(second, ["kind", "raw_2"]).where("x <> y")
+    return rows.select("kind", F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2")).distinct()

@@ -184,6 +184,12 @@ def test_same_looking_pairs(spark):
     assert visual_form.same_looking_pairs(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_one_spelling(spark):
+    hot = spark.range(60_000).select(F.lit("c").alias("kind"), F.format_string("h%06d", "id").alias("id"), F.lit("naïve text").alias("text"))
+    other = spark.createDataFrame([("c", "z", "naïve te\u00adxt")], "kind string, id string, text string")
+    assert visual_form.same_looking_pairs(hot.unionByName(other)).count() == 60_000
+
+
 def test_columns_match_functions(spark):
     data = [(t,) for p in LOOKS + OTHER for t in p] + [("",), (None,), ("A\tB",)]
     df = spark.createDataFrame(data, "t string")
