@@ -1,7 +1,8 @@
 """Problem 9: keyword-stuffed pages, link lists and product tags.
 
 Two measurements per page are combined. Clause structure: which words stand in text that has
-the function words of a sentence around them. Repetition: the page's words are put into a
+the function words of a sentence around them; phrases without a sentence end that say the same
+again and again have none, whatever function words they hold. Repetition: the page's words are put into a
 suffix automaton, and the characters covered by repeated maximal substrings are marked. A run
 of words without clause structure counts as stuffing if repeated substrings, links and tags cover enough
 of its characters; a page is stuffed if more than half of its words count.
@@ -10,6 +11,7 @@ of its characters; a page is stuffed if more than half of its words count.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ FUNCTION_WORDS = frozenset(
 LEAST_SHARE = 0.12
 SENTENCE = 40
 REACH = 8
+#: A pair of words that stands so often between two sentence ends is a keyword's.
+AGAIN = 3
 #: A run without clause structure is stuffing if repeats, links and tags cover this share of its characters.
 COVERED = 0.4
 #: More than this share of the page's words.
@@ -44,18 +48,29 @@ _token = re.compile(r"[^\W_]+")
 _link = re.compile(r"<a\s[^<>]*>[^<>]*(?:</a>)?|(?:https?://|www\.)[^\s<>]+|#\w+", re.IGNORECASE)
 _border = re.compile(r"[\n\r]|[.!?][\"')\]]*(?=\s+[^\W\d_a-zß-öø-ÿ]|\s+[¿¡(\"'])|[。！？]|[|★»•·/>](?=\s)|::")
 _markup = re.compile(r"<(?!a\s)[^<>]{0,200}>|&(?:#x?\w{1,6}|\w{2,8});")
+_stop = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。！？]")
+_comma = re.compile(r"[,;](?=\s)|[、，；]")
 _han = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
 
 
-def page_words(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words in lower case; the segment of each (borders: line and sentence ends, list marks outside links); whether it stands in a link or tag."""
+def page_words(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words in lower case; the segment of each (borders: line and sentence ends, list marks outside links); whether it stands in a link or tag; whether a sentence end follows it; whether a comma or semicolon does (asked for only where a segment has more than SENTENCE words)."""
     clean = _markup.sub(lambda m: " " * len(m.group()), text)
     spans = [m.span() for m in _token.finditer(clean)]
     words = [clean[a:b].lower() for a, b in spans]
     starts = np.array([a for a, _ in spans], dtype=np.int64)
     links = np.array([m.span() for m in _link.finditer(clean)], dtype=np.int64).reshape(-1, 2)
     cuts = np.array([m.start() for m in _border.finditer(clean)], dtype=np.int64)
-    return words, np.searchsorted(cuts[~_within(cuts, links)], starts, side="right"), _within(starts, links)
+    segment, stops = np.searchsorted(cuts[~_within(cuts, links)], starts, side="right"), _follows(_stop, clean, starts)
+    commas = _follows(_comma, clean, starts) if np.bincount(segment).max(initial=0) > SENTENCE else np.zeros(len(starts), dtype=bool)
+    return words, segment, _within(starts, links), stops, commas
+
+
+def _follows(pattern: re.Pattern, clean: str, starts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), dtype=bool)
+    before = np.searchsorted(starts, np.array([m.start() for m in pattern.finditer(clean)], dtype=np.int64)) - 1
+    out[before[before >= 0]] = True
+    return out
 
 
 def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -70,13 +85,12 @@ def has_clause(words: list[str], segment: np.ndarray, in_link: np.ndarray) -> np
     n = len(words)
     plain = ~in_link
     function = np.fromiter((w in FUNCTION_WORDS for w in words), dtype=bool, count=n) & plain
-    han = np.fromiter((bool(_han.search(w)) for w in words), dtype=bool, count=n) & plain
+    han = np.zeros(n, dtype=bool)
+    if _han.search(" ".join(words)):
+        han = np.fromiter((bool(_han.search(w)) for w in words), dtype=bool, count=n) & plain
     sums, plains, hans = (np.concatenate([[0], np.cumsum(x)]) for x in (function, plain, han))
     index = np.arange(n)
-    new = np.ones(n + 1, dtype=bool)
-    new[1:n] = segment[1:] != segment[:-1]
-    begins = np.maximum.accumulate(np.where(new[:n], index, 0))
-    ends = np.minimum.accumulate(np.where(new[1:], index + 1, n)[::-1])[::-1]
+    begins, ends = _limits(segment)
     long = ends - begins > SENTENCE
     low, high = np.where(long, np.maximum(begins, index - REACH), begins), np.where(long, np.minimum(ends, index + REACH + 1), ends)
     own = plains[high] - plains[low]
@@ -84,6 +98,43 @@ def has_clause(words: list[str], segment: np.ndarray, in_link: np.ndarray) -> np
     return clause | (hans[high] > hans[low])
 
 
+def _limits(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, where its run of equal ``group`` begins and where it ends."""
+    n = len(group)
+    index = np.arange(n)
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = group[1:] != group[:-1]
+    return np.maximum.accumulate(np.where(new[:n], index, 0)), np.minimum.accumulate(np.where(new[1:], index + 1, n)[::-1])[::-1]
+
+
+def open_phrases(segment: np.ndarray, stops: np.ndarray, commas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The phrase of each word, and whether no sentence end closes it. A phrase is a segment up to its sentence ends; one of more than SENTENCE words is also cut at its commas."""
+    begins, ends = _limits(segment)
+    cut = np.ones(len(segment), dtype=bool)
+    cut[1:] = (segment[1:] != segment[:-1]) | (stops | commas & (ends - begins > SENTENCE))[:-1]
+    phrase = np.cumsum(cut)
+    return phrase, ~stops[_limits(phrase)[1] - 1]
+
+
+def keyword_phrases(words: list[str], plain: np.ndarray, phrase: np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """Whether each word stands in an open phrase whose characters are covered by pairs of words that stand AGAIN times or more between the same two sentence ends.
+
+    Prose has a sentence end after a sentence, also where its lines are cut, and doesn't repeat itself within one.
+    """
+    function = [w in FUNCTION_WORDS for w in words]
+    run = np.cumsum(~is_open)  # all open phrases between two closed ones
+    pair = (is_open & plain)[:-1] & plain[1:] & (phrase[1:] == phrase[:-1])
+    keys = [(r, a, b) if ok and not (f and g) else None for ok, r, a, b, f, g in zip(pair.tolist(), run.tolist(), words, words[1:], function, function[1:])]
+    times = Counter(keys)
+    again = np.fromiter((k is not None and times[k] >= AGAIN for k in keys), dtype=bool, count=len(keys))
+    covered = np.zeros(len(words), dtype=bool)
+    covered[:-1] |= again
+    covered[1:] |= again
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) * plain
+    share = np.bincount(phrase, weights=size * covered) / np.maximum(1, np.bincount(phrase, weights=size))
+    return is_open & (share >= COVERED)[phrase]
+
+
 class SuffixAutomaton:
     """Of a sequence of integers; states hold the length of their longest substring, their suffix link and how often they occur."""
 
@@ -149,11 +200,15 @@ def stuffed_share(text: str | None) -> float:
     """Share of the page's words that stand in stuffing. 0 for null, and for texts without a word."""
     if not text:
         return 0.0
-    words, segment, in_link = page_words(text)
+    words, segment, in_link, stops, commas = page_words(text)
     n = len(words)
     if not n:
         return 0.0
     bare = ~has_clause(words, segment, in_link)
+    phrase, is_open = open_phrases(segment, stops, commas)
+    if (bare | is_open).sum() <= STUFFED * n:
+        return 0.0  # a closed phrase with clause structure stays one, so the page can't pass
+    bare |= keyword_phrases(words, ~in_link, phrase, is_open)
     if bare.sum() <= STUFFED * n:
         return 0.0  # stuffing lies in bare runs only, so the page can't pass
     covered = repeated(words) | in_link

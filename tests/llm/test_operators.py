@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import unicodedata
 
 import numpy as np
@@ -376,6 +377,23 @@ def test_stuffing(text, share):
     assert (stuffing.stuffed_share(text) > 0.5) == bool(share)
 
 
+LOCAL = [f"anemia of inflammation {kind} {place}" for place in ("Norring", "Dunmere", "Kestrel Bay", "Port Ellory", "Villa Sarón") for kind in ("clinic", "doctor", "treatment")]
+
+
+@pytest.mark.parametrize("mark", ["\n", ", ", "; ", " | ", " "])
+def test_keywords_that_hold_function_words(mark):
+    assert stuffing.stuffed_share(mark.join(LOCAL)) > 0.9
+    assert stuffing.stuffed_share(mark.join(LOCAL).capitalize()) > 0.9
+    assert 0.5 < stuffing.stuffed_share(SENTENCE + "\n" + mark.join(LOCAL) + "\n" + SENTENCE) < 0.9
+    assert stuffing.stuffed_share(SENTENCE * 12 + "\n" + mark.join(LOCAL)) < 0.5
+
+
+@pytest.mark.parametrize("width", [30, 60, 90])
+def test_cut_lines_of_prose_are_no_keywords(width):
+    assert stuffing.stuffed_share(textwrap.fill(SENTENCE * 40, width)) == 0.0
+    assert stuffing.stuffed_share(textwrap.fill((SENTENCE * 40).lower(), width)) == 0.0
+
+
 def test_automaton_against_brute_force():
     rng = random.Random(11)
     for _ in range(60):
