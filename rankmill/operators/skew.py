@@ -35,16 +35,18 @@ def lookup(left: DataFrame, dim: DataFrame, on: Sequence[str], hot: Column, how:
     return found.select(*rest.columns).unionByName(rest)
 
 
-def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str = "rank") -> DataFrame:
+def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str = "rank", then: Sequence[str] = ()) -> DataFrame:
     """Competition rank (1 + rows with a higher score) of each row within its group, highest score first.
 
     Groups of any size: rows are range-partitioned by (group, score), so one group spreads over
     as many partitions as it needs. Each partition ranks its own rows; a table with at most one
     row per partition boundary carries the counts before it. Equal scores share a partition
-    and so a rank. ``score`` must be free of null and NaN. Adds ``rank`` BIGINT; an empty
+    and so a rank; the columns of ``then`` part them, lowest first and null last. ``score`` must be
+    free of null and NaN. Adds ``rank`` BIGINT; an empty
     table stays empty.
     """
-    names = [*groups, score]
+    names = [*groups, score, *then]
+    order = [*map(F.col, groups), F.col(score).desc(), *map(F.asc_nulls_last, then)]
     schema = T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__local", T.LongType())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +63,8 @@ def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str =
             new_score = np.zeros(n, dtype=bool)
             for k, c in enumerate(cols):
                 codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                (new_score if k == len(groups) else new_group)[1:] |= codes[1:] != codes[:-1]
-            new_group[0] = last is None or first[:-1] != last[:-1]
+                (new_score if k >= len(groups) else new_group)[1:] |= codes[1:] != codes[:-1]
+            new_group[0] = last is None or first[: len(groups)] != last[: len(groups)]
             new_score |= new_group
             new_score[0] = last is None or first != last
             index = np.arange(n, dtype=np.int64)
@@ -75,7 +77,7 @@ def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str =
             last = tuple(c[n - 1].as_py() for c in cols)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(ranks)], names=[*batch.schema.names, "__pid", "__local"])
 
-    by_range = df.repartitionByRange(*groups, F.col(score).desc()).sortWithinPartitions(*groups, F.col(score).desc())
+    by_range = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = materialize(by_range.mapInArrow(local, schema), "rank")
     counts = ranked.groupBy(*groups, "__pid").count()
     earlier = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

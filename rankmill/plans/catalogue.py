@@ -10,6 +10,8 @@ from rankmill.operators import analysis, bm25, dense, metrics, prep, rerank, run
 from rankmill.operators.storage import load, materialize
 
 KS = (5, 10, 20, 50, 100)
+#: Places of a run that fusion, recall ceilings and mining look at; packing and evaluation take whole runs.
+POOL = 100
 GRID = (5, 10, 20, 50)
 
 
@@ -25,12 +27,12 @@ def _qrels(spark: SparkSession, d: str) -> DataFrame:
     return prep.one_judgment(load(spark, d, "qrels"))
 
 
-def _stage(spark: SparkSession, d: str, stage: str) -> DataFrame:
-    return runs.run_of_stage(load(spark, d, "runs"), stage)
+def _stage(spark: SparkSession, d: str, stage: str, depth: int | None = None) -> DataFrame:
+    return runs.run_of_stage(load(spark, d, "runs"), stage, depth)
 
 
 def _fused(spark: SparkSession, d: str, top_k: int = 20) -> DataFrame:
-    return runs.reciprocal_rank_fusion([_stage(spark, d, "bm25"), _stage(spark, d, "dense")], 60, top_k)
+    return runs.reciprocal_rank_fusion([_stage(spark, d, "bm25", POOL), _stage(spark, d, "dense", POOL)], 60, top_k)
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +147,8 @@ def rrf_hybrid_topk(spark, d):
 
 
 def hybrid_topk(spark, d):
-    own = bm25.search(_corpus(spark, d), _queries(spark, d), bm25.build(_corpus(spark, d)), 100)
-    return runs.reciprocal_rank_fusion([own, _stage(spark, d, "dense")], 60, 20).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
+    own = bm25.search(_corpus(spark, d), _queries(spark, d), bm25.build(_corpus(spark, d)), POOL)
+    return runs.reciprocal_rank_fusion([own, _stage(spark, d, "dense", POOL)], 60, 20).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
 def packed_runs(spark, d):
@@ -207,12 +209,12 @@ def metrics_aggregate(spark, d):
 
 
 def recall_ceiling(spark, d):
-    return _rounded(metrics.recall_ceiling(_stage(spark, d, "hybrid"), _qrels(spark, d), KS), ("recall", "pct_queries_with_hit"))
+    return _rounded(metrics.recall_ceiling(_stage(spark, d, "hybrid", POOL), _qrels(spark, d), KS), ("recall", "pct_queries_with_hit"))
 
 
 def recall_ceiling_pivot(spark, d):
     stages = ("bm25", "dense", "hybrid")
-    return _rounded(metrics.pivot_methods({s: metrics.recall_ceiling(_stage(spark, d, s), _qrels(spark, d), KS) for s in stages}), stages)
+    return _rounded(metrics.pivot_methods({s: metrics.recall_ceiling(_stage(spark, d, s, POOL), _qrels(spark, d), KS) for s in stages}), stages)
 
 
 def per_query_deltas(spark, d):
@@ -268,11 +270,11 @@ def case_evidence(spark, d):
 
 
 def lexical_mismatch(spark, d):
-    return analysis.lexical_mismatch(_stage(spark, d, "bm25"), _stage(spark, d, "dense"), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
+    return analysis.lexical_mismatch(_stage(spark, d, "bm25", POOL), _stage(spark, d, "dense", POOL), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
 
 
 def semantic_drift(spark, d):
-    return analysis.semantic_drift(_stage(spark, d, "dense"), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
+    return analysis.semantic_drift(_stage(spark, d, "dense", POOL), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
 
 
 def worst5(spark, d):

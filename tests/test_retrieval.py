@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import bm25, dense, prep, runs
+from rankmill.operators.storage import load
+from rankmill.plans import catalogue
 
 
 def reference_bm25(docs, query, k1=1.2, b=0.75, eps=0.25):
@@ -113,6 +115,18 @@ def test_run_of_stage(spark):
     assert [(r.doc_id, r.score) for r in got] == [("a", 3.0), ("b", 3.0)]
 
 
+def test_whole_runs_are_kept(spark, sf_dir):
+    rows = [("hot", f"d{i:03}", i % 7 or None, "s", float(i // 9)) for i in range(450)] + [("cold", "a", 1, "s", 1.0)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id string, rank int, stage string, score double").repartition(4)
+    want = [r[1] for r in sorted(rows[:450], key=lambda r: (-r[4], r[2] is None, r[2] or 0, r[1]))]
+    assert {r.query_id: r.docs for r in runs.pack(runs.run_of_stage(df, "s")).collect()} == {"hot": want, "cold": ["a"]}
+    assert [r.doc_id for r in runs.run_of_stage(df, "s", 20).where("query_id = 'hot'").orderBy("rank").collect()] == want[:20]
+    sf = sf_dir.replace("0.001", "0.01")
+    valid = {(r.query_id, r.doc_id) for r in load(spark, sf, "runs").where("stage = 'hybrid' AND score IS NOT NULL AND NOT isnan(score)").collect() if r.query_id is not None and r.doc_id is not None}
+    got = [(r.query_id, r.doc_id) for r in catalogue.queries()["unpacked_runs"](spark, sf).collect()]
+    assert len(got) == len(valid) and set(got) == valid
+
+
 CLEAN = [
     ("<i>a</i> &amp; $k_1$ \\textbf{x} b", "a & b"),
     ("p &lt; 0.05 and q &gt; 3", "p 3"),
