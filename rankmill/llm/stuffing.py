@@ -33,6 +33,8 @@ FUNCTION_WORDS = frozenset(
     "el los las se una del por con para su sus entre según nuestros durante después o al es "
     "".split()
 )
+# Characters that Han and kana sentences can't do without.
+FUNCTION_CHARACTERS = frozenset("的了是在和与及或也不没无我你他她它们这那将被把对从为以于而但因就都使让可会能着过之者はがをにのでとも")
 #: A segment of SENTENCE words at most has clause structure if this share of its words outside links are function words; longer ones are judged around each word, REACH words to either side.
 LEAST_SHARE = 0.12
 SENTENCE = 40
@@ -51,6 +53,8 @@ _markup = re.compile(r"<(?!a\s)[^<>]{0,200}>|&(?:#x?\w{1,6}|\w{2,8});")
 _stop = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。！？]")
 _comma = re.compile(r"[,;](?=\s)|[、，；]")
 _han = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
+_character = re.compile(r"[぀-ヿ㐀-鿿]")
+_symbol = re.compile(r"[぀-ヿ㐀-鿿]|[^぀-ヿ㐀-鿿]+")
 
 
 def page_words(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +84,14 @@ def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (k >= 0) & (at < spans[np.maximum(k, 0), 1])
 
 
-def has_clause(words: list[str], segment: np.ndarray, in_link: np.ndarray) -> np.ndarray:
-    """Whether each word stands in a clause: four words or more outside links, enough of them function words, or a run of Han or kana characters in its segment."""
+def has_clause(words: list[str], segment: np.ndarray, in_link: np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """Whether each word stands in a clause: four words or more outside links, enough of them function words, or a run of Han or kana characters in its segment that a sentence end closes or that holds a function character."""
     n = len(words)
     plain = ~in_link
     function = np.fromiter((w in FUNCTION_WORDS for w in words), dtype=bool, count=n) & plain
     han = np.zeros(n, dtype=bool)
     if _han.search(" ".join(words)):
-        han = np.fromiter((bool(_han.search(w)) for w in words), dtype=bool, count=n) & plain
+        han = np.fromiter((bool(_han.search(w)) and (closed or not FUNCTION_CHARACTERS.isdisjoint(w)) for w, closed in zip(words, ~is_open)), dtype=bool, count=n) & plain
     sums, plains, hans = (np.concatenate([[0], np.cumsum(x)]) for x in (function, plain, han))
     index = np.arange(n)
     begins, ends = _limits(segment)
@@ -121,18 +125,21 @@ def keyword_phrases(words: list[str], plain: np.ndarray, phrase: np.ndarray, is_
 
     Prose has a sentence end after a sentence, also where its lines are cut, and doesn't repeat itself within one.
     """
-    function = [w in FUNCTION_WORDS for w in words]
-    run = np.cumsum(~is_open)  # all open phrases between two closed ones
+    symbols, of = symbols_of(words)
+    function = [w in FUNCTION_WORDS or w in FUNCTION_CHARACTERS for w in symbols]
+    run = np.cumsum(~is_open)[of]  # all open phrases between two closed ones
+    all_open, of_word = is_open, phrase
+    is_open, plain, phrase = is_open[of], plain[of], phrase[of]
     pair = (is_open & plain)[:-1] & plain[1:] & (phrase[1:] == phrase[:-1])
-    keys = [(r, a, b) if ok and not (f and g) else None for ok, r, a, b, f, g in zip(pair.tolist(), run.tolist(), words, words[1:], function, function[1:])]
+    keys = [(r, a, b) if ok and not (f and g) else None for ok, r, a, b, f, g in zip(pair.tolist(), run.tolist(), symbols, symbols[1:], function, function[1:])]
     times = Counter(keys)
     again = np.fromiter((k is not None and times[k] >= AGAIN for k in keys), dtype=bool, count=len(keys))
-    covered = np.zeros(len(words), dtype=bool)
+    covered = np.zeros(len(symbols), dtype=bool)
     covered[:-1] |= again
     covered[1:] |= again
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) * plain
+    size = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols)) * plain
     share = np.bincount(phrase, weights=size * covered) / np.maximum(1, np.bincount(phrase, weights=size))
-    return is_open & (share >= COVERED)[phrase]
+    return all_open & (share >= COVERED)[of_word]
 
 
 class SuffixAutomaton:
@@ -184,13 +191,21 @@ class SuffixAutomaton:
         return out
 
 
+def symbols_of(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """What is compared for repetition, and the word of each: the words, those with Han or kana by character, as no space parts them."""
+    if not _character.search("".join(words)):
+        return words, np.arange(len(words))
+    parts = [_symbol.findall(w) for w in words]
+    return [x for p in parts for x in p], np.repeat(np.arange(len(words)), [len(p) for p in parts])
+
+
 def repeated(words: list[str]) -> np.ndarray:
-    """Whether each word is covered by a repeated substring of the page's words."""
+    """Whether each symbol is covered by a repeated substring of the page's; a single Han or kana character is none."""
     codes: dict[str, int] = {}
     longest = SuffixAutomaton([codes.setdefault(w, len(codes)) for w in words]).repeated_suffix()
     change = np.zeros(len(words) + 1, dtype=np.int64)
     for i, n in enumerate(longest):
-        if n:
+        if n > 1 or n and not _character.match(words[i]):
             change[i - n + 1] += 1
             change[i + 1] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -204,18 +219,19 @@ def stuffed_share(text: str | None) -> float:
     n = len(words)
     if not n:
         return 0.0
-    bare = ~has_clause(words, segment, in_link)
     phrase, is_open = open_phrases(segment, stops, commas)
+    bare = ~has_clause(words, segment, in_link, is_open)
     if (bare | is_open).sum() <= STUFFED * n:
         return 0.0  # a closed phrase with clause structure stays one, so the page can't pass
     bare |= keyword_phrases(words, ~in_link, phrase, is_open)
     if bare.sum() <= STUFFED * n:
         return 0.0  # stuffing lies in bare runs only, so the page can't pass
-    covered = repeated(words) | in_link
-    size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    symbols, of = symbols_of(words)
+    covered = repeated(symbols) | in_link[of]
+    size = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols))
     run = np.cumsum(np.concatenate([[0], bare[1:] != bare[:-1]]))
-    chars = np.bincount(run, weights=size)
-    share = np.bincount(run, weights=size * covered) / chars
+    chars = np.bincount(run[of], weights=size)
+    share = np.bincount(run[of], weights=size * covered) / chars
     return float((bare & (share >= COVERED)[run]).sum() / n)
 
 

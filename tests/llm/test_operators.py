@@ -388,6 +388,26 @@ def test_keywords_that_hold_function_words(mark):
     assert stuffing.stuffed_share(SENTENCE * 12 + "\n" + mark.join(LOCAL)) < 0.5
 
 
+PLACES = ["北京", "上海", "广州", "南京", "成都", "武汉"]
+
+
+@pytest.mark.parametrize("mark", ["\n", " ", "，", " | "])
+@pytest.mark.parametrize("keyword", ["高血压治疗医院", "高血压的治疗方法", "高血圧クリニック"])
+def test_han_and_kana_keywords(keyword, mark):
+    page = mark.join(f"{p}{keyword}" for p in PLACES * 4)
+    assert stuffing.stuffed_share(page) > 0.9
+    prose = "我们认为这可能参与了组织修复的早期过程。两组之间的不良反应没有明显差别，本研究评估了其对慢性炎症的影响。"
+    assert stuffing.stuffed_share(prose + "\n" + page) > 0.5
+    assert stuffing.stuffed_share(prose * 20 + "\n" + mark.join([keyword] * 5)) == 0.0
+
+
+def test_han_prose_is_no_stuffing():
+    prose = "我们认为这可能参与了组织修复的早期过程。两组之间的不良反应没有明显差别，本研究评估了其对慢性炎症的影响。随访期间未发现新的安全性问题。"
+    assert stuffing.stuffed_share(prose * 20) == 0.0
+    assert stuffing.stuffed_share("\n".join(textwrap.wrap(prose * 20, 18))) == 0.0
+    assert stuffing.stuffed_share("随访期间未发现新的安全性问题\n结果显示其表达水平升高了一倍") == 0.0
+
+
 @pytest.mark.parametrize("width", [30, 60, 90])
 def test_cut_lines_of_prose_are_no_keywords(width):
     assert stuffing.stuffed_share(textwrap.fill(SENTENCE * 40, width)) == 0.0
