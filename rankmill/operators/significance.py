@@ -60,6 +60,20 @@ def _bounds(n_samples: int, level: float) -> tuple[int, int]:
     return int(alpha / 2 * n_samples), min(int((1 - alpha / 2) * n_samples) - 1, n_samples - 1)
 
 
+def replayed_draws(n: int, seed: int) -> Iterator[np.ndarray]:
+    """What ``random.Random(seed).randrange(n)`` gives (n under 2 ** 32), n draws at a time: its generator's words, cut to n's bits, those below n."""
+    *key, at = random.Random(seed).getstate()[1]
+    words = np.random.RandomState()
+    words.set_state(("MT19937", np.array(key, dtype=np.uint32), at))
+    rest = np.zeros(0, dtype=np.uint32)
+    while True:
+        while len(rest) < n:
+            more = words.randint(0, 1 << 32, max(n, 10_000), dtype=np.uint32) >> np.uint32(32 - n.bit_length())
+            rest = np.concatenate([rest, more[more < n]])
+        yield rest[:n]
+        rest = rest[n:]
+
+
 def bootstrap_replay(deltas: DataFrame, n_samples: int = 10_000, level: float = 0.95, seed: int = 42, delta: str = "delta", order: str = "query_id") -> DataFrame:
     """The percentile interval of resampled means with Python's seeded generator, over the deltas in order of ``order``.
 
@@ -68,9 +82,9 @@ def bootstrap_replay(deltas: DataFrame, n_samples: int = 10_000, level: float =
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        d = p.sort_values(order)[delta].tolist()
-        rng, n = random.Random(seed), len(d)
-        means = sorted(sum([d[rng.randrange(n)] for _ in range(n)]) / n for _ in range(n_samples))
+        own = p.sort_values(order)[delta].to_numpy(dtype=float)
+        d, n = own.tolist(), len(own)
+        means = sorted(sum(own[drawn].tolist()) / n for drawn, _ in zip(replayed_draws(n, seed), range(n_samples)))
         low, high = (means[i] for i in _bounds(n_samples, level))
         return pd.DataFrame([(sum(d) / n, low, high, level, n_samples, n, low > 0 or high < 0)], columns=["observed_mean_delta", "ci_lower", "ci_upper", "confidence_level", "n_samples", "n_queries", "significant"])
 
@@ -97,17 +111,18 @@ def poisson_weight(sample: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray
     return out
 
 
-def bootstrap_hash(deltas: DataFrame, n_samples: int = 1000, level: float = 0.95, seed: int = 42, delta: str = "delta", key: str = "row") -> DataFrame:
+def bootstrap_hash(deltas: DataFrame, n_samples: int = 10_000, level: float = 0.95, seed: int = 42, delta: str = "delta", key: str = "row") -> DataFrame:
     """A bootstrap interval that needs no order and no single place: each row's count in each resample is a hash of both (Poisson bootstrap).
 
     A partition adds up n_samples weighted sums; only these are shuffled. ``key`` is an integer that is unique per row.
     """
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 1_000_000 // n_samples)  # rows whose counts in all resamples are held at once
         total, count, b = np.zeros(n_samples), np.zeros(n_samples, dtype=np.int64), np.arange(n_samples, dtype=np.int64)
         for p in parts:
-            for at in range(0, len(p), 1000):
-                part = p.iloc[at : at + 1000]
+            for at in range(0, len(p), step):
+                part = p.iloc[at : at + step]
                 w = poisson_weight(b[:, None], part[key].to_numpy(dtype=np.int64)[None, :] % PRIME, seed)
                 total += w @ part[delta].to_numpy(dtype=float)
                 count += w.sum(axis=1)

@@ -13,6 +13,8 @@ KS = (5, 10, 20, 50, 100)
 #: Places of a run that fusion, recall ceilings and mining look at; packing and evaluation take whole runs.
 POOL = 100
 GRID = (5, 10, 20, 50)
+#: Resamples of both bootstraps, as in the reference's configuration.
+SAMPLES = 10_000
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -235,11 +237,11 @@ def wilcoxon_p(spark, d):
 
 def bootstrap_hash_ci(spark, d):
     rows = _pairs(spark, d).withColumn("row", F.substring("query_id", 2, 20).cast("long"))
-    return significance.bootstrap_hash(rows)
+    return significance.bootstrap_hash(rows, SAMPLES)
 
 
 def bootstrap_replay_ci(spark, d):
-    return significance.bootstrap_replay(_pairs(spark, d), 2000)
+    return significance.bootstrap_replay(_pairs(spark, d), SAMPLES)
 
 
 # --- analysis

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,26 @@ def test_bootstrap(spark):
     assert h.ci_lower == pytest.approx(a.ci_lower, abs=0.003) and h.ci_upper == pytest.approx(a.ci_upper, abs=0.003)
 
 
+@pytest.mark.parametrize("n,seed", [(1, 42), (2, 1), (300, 42), (256, 7), (1000, 42)])
+def test_replayed_draws(n, seed):
+    rng, draws = random.Random(seed), significance.replayed_draws(n, seed)
+    for _ in range(50):
+        assert next(draws).tolist() == [rng.randrange(n) for _ in range(n)]
+
+
+def test_registered_bootstraps_resample_10000_times(spark, sf_dir):
+    deltas = [(r.query_id, r.delta) for r in catalogue._pairs(spark, sf_dir).collect()]
+    d, n, rng = [x for _, x in sorted(deltas)], len(deltas), random.Random(42)
+    means = sorted(sum([d[rng.randrange(n)] for _ in range(n)]) / n for _ in range(10_000))
+    got = catalogue.queries()["bootstrap_replay_ci"](spark, sf_dir).first()
+    assert (got.n_samples, got.ci_lower, got.ci_upper) == (10_000, means[250], means[9749])
+    rows = np.array([int(q[1:]) for q, _ in deltas]) % significance.PRIME
+    w = significance.poisson_weight(np.arange(10_000)[:, None], rows[None, :], 42)
+    m = np.sort(w @ np.array([x for _, x in deltas]) / w.sum(axis=1))
+    h = catalogue.queries()["bootstrap_hash_ci"](spark, sf_dir).first()
+    assert (h.ci_lower, h.ci_upper) == pytest.approx((m[250], m[9749]), abs=2e-9)
+
+
 def corpus_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id string, title string, text_raw string, n_tokens int")
 
