@@ -4,13 +4,16 @@ Every window of an item (12 words, or the whole of a shorter item) and every win
 size in a document gets a SimHash. A multi-index over four 16-bit blocks finds all pairs of
 windows within a Hamming distance of three; equal windows have distance zero, so none is
 missed. Candidates are verified by the exact weighted similarity of their word shingles.
+Near copies are also looked for in longer windows, whose candidates come from the shingles
+themselves, so that none is missed either.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,20 +155,72 @@ def leaks_in(texts: list[str | None], index: WindowIndex, votes: Votes, similari
     return sorted(found)
 
 
-_indexes: dict[str, tuple[WindowIndex, Votes]] = {}
+def near_window(similarity: float) -> int:
+    """The fewest words in which one changed word, wherever it stands, leaves two windows ``similarity`` alike."""
+    return math.ceil(SHINGLE * (1 + similarity) / (1 - similarity)) + SHINGLE - 1
+
+
+class NearIndex:
+    """Items by their word shingles, for windows of ``window`` and of ``near_window`` words or of a whole shorter item."""
+
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float, window: int = WINDOW) -> None:
+        self.sizes, self.similarity = (window, near_window(similarity)), similarity
+        self.items = [(item, words_of(text)) for item, text in items]
+        self.holders: dict[tuple, list[int]] = {}
+        for k, (_, words) in enumerate(self.items):
+            for gram in set(_shingles(words)):
+                self.holders.setdefault(gram, []).append(k)
+
+    def found(self, text: str | None) -> set[int]:
+        """Items of which a window is ``similarity`` alike to one of the text's of its size; complete, as such windows share shingles."""
+        words = words_of(text)
+        grams = _shingles(words)
+        hits: dict[int, list[int]] = defaultdict(list)
+        for p, gram in enumerate(grams):
+            for k in self.holders.get(gram, ()):
+                hits[k].append(p)
+        out: set[int] = set()
+        for k, at in hits.items():
+            item, own = self.items[k]
+            held = {grams[p] for p in at}
+            for size in {min(s, len(own)) for s in self.sizes}:
+                common = size - SHINGLE + 1
+                least = 2 * common * self.similarity / (1 + self.similarity) - 1e-9  # shingles that two such windows share
+                if item in out or common < 1 or len(at) < least or len(words) < size:
+                    continue
+                left, right = (_dense(np.array([g in held for g in x]), common, least) for x in (grams, _shingles(own)))
+                if any(shingle_similarity(words[p : p + size], own[q : q + size]) >= self.similarity for p in left for q in right):
+                    out.add(item)
+        return out
+
+
+def _shingles(words: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+
+
+def _dense(hit: np.ndarray, length: int, least: float) -> list[int]:
+    """Where ``length`` places begin of which at least ``least`` are hit."""
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    return np.flatnonzero(sums[length:] - sums[:-length] >= least).tolist()
+
+
+_indexes: dict[str, tuple[WindowIndex, NearIndex | None, Votes]] = {}
 
 
 def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, similarity: float = 0.8, radius: int = RADIUS, index_windows: int = INDEX_WINDOWS) -> DataFrame:
     """(doc_id, item_id), once each: documents that hold a window of an item that is at least ``similarity`` alike.
 
-    The default finds near copies (five-word shingles, 0.8, within the SimHash radius);
-    ``similarity=1.0`` asks for the item's words in its order with no other word between, and
+    The default finds near copies (five-word shingles, 0.8): all pairs of windows of ``window``
+    or of ``near_window(similarity)`` words (49 for 0.8; the whole of a shorter item) that are so
+    alike, found by their shingles. ``similarity=1.0`` asks for the item's words in its order with no other word between, and
     is complete at any radius. Null and empty texts hold nothing; items without a word are held by
     none; repeated rows change nothing. The index of the items is broadcast in blocks of
     ``index_windows`` windows, so any number of items is served; document ids and item ids are integers.
     """
     if not 0 <= radius < BLOCKS:
         raise ValueError("the blocks guarantee radii from 0 to 3")
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     spark = documents.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # a word and a separator take two characters at least
@@ -174,7 +229,7 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     found = None
     for k in range(passes):
         block = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(WindowIndex(block, window))
+        sent = spark.sparkContext.broadcast((WindowIndex(block, window), NearIndex(block, similarity, window) if similarity < 1 else None))
         part = docs.mapInArrow(_scanner(sent, uuid.uuid4().hex, similarity, radius), "d long, i long")
         found = part if found is None else found.unionByName(part)
     return found.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
@@ -184,12 +239,15 @@ def _scanner(sent, key: str, similarity: float, radius: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _indexes:
             _indexes.clear()
-            _indexes[key] = (sent.value, Votes())
-        index, votes = _indexes[key]
+            _indexes[key] = (*sent.value, Votes())
+        index, near, votes = _indexes[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                pairs = leaks_in(part.column(1).to_pylist(), index, votes, similarity, radius)
+                texts = part.column(1).to_pylist()
+                pairs = leaks_in(texts, index, votes, similarity, radius)
+                if near is not None:
+                    pairs = sorted({*pairs, *((k, i) for k, t in enumerate(texts) for i in near.found(t))})
                 if pairs:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([p[0] for p in pairs])), pa.array([p[1] for p in pairs], pa.int64())], names=["d", "i"])
 

@@ -337,6 +337,40 @@ def test_leaks_odd_cases(spark):
     assert leakage.leaked_items(df, "d", "t", items.limit(0), "i", "t").count() == 0
 
 
+@pytest.mark.parametrize("similarity,near", [(0.8, 49), (0.5, 19)])
+def test_near_copies_against_brute_force(spark, similarity, near):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, rng.choices(words, k=n)) for i, n in enumerate((3, 9, 14, 30, 49, 60, 80, 80))]
+    docs = []
+    for d in range(60):
+        own = list(rng.choice(items)[1])
+        for _ in range(d % 5):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [f"new{d}"] * rng.randrange(1, 3)
+        docs.append((d, rng.choices(words, k=rng.randrange(20)) + own + rng.choices(words, k=20)))
+    want = set()
+    for d, a in docs:
+        for i, b in items:
+            for size in (min(12, len(b)), min(near, len(b))):
+                pairs = ((a[p : p + size], b[q : q + size]) for p in range(len(a) - size + 1) for q in range(len(b) - size + 1))
+                if any(x == y or leakage.shingle_similarity(x, y) >= similarity for x, y in pairs if not {*x}.isdisjoint(y)):
+                    want.add((d, i))
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in x], "k long, t string") for x in (docs, items)]
+    assert set(rows(leakage.leaked_items(tables[0], "k", "t", tables[1].withColumnRenamed("k", "i"), "i", "t", similarity=similarity))) == want
+
+
+def test_one_changed_word_is_a_near_copy(spark):
+    item = [f"w{i}" for i in range(49)]
+    items = spark.createDataFrame([(1, " ".join(item))], "i long, t string")
+    near = leakage.NearIndex([(1, " ".join(item))], 0.8)
+    for k in range(49):
+        assert near.found(" ".join(["x", *item[:k], "new", *item[k + 1 :], "y"])) == {1}
+    assert near.found(" ".join(w if k % 11 else "new" for k, w in enumerate(item))) == set()
+    edited = [w for k, w in enumerate(item * 2) if k % 10]
+    assert leakage.leaked_items(spark.createDataFrame([(1, " ".join(edited))], "d long, t string"), "d", "t", items, "i", "t").count() == 0
+
+
 def test_multi_index_is_complete():
     rng = np.random.default_rng(10)
     index = leakage.WindowIndex([(i, " ".join(rng.choice([f"v{k}" for k in range(60)], 30))) for i in range(40)])
