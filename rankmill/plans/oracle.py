@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-KS, GRID = (5, 10, 20, 50, 100), (5, 10, 20, 50)
+KS, GRID, POOL = (5, 10, 20, 50, 100), (5, 10, 20, 50), 100
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 TRIMMED = rf"trim(regexp_replace(coalesce(text_raw, ''), '{SPACE}', ' ', 'g'))"
 ABBREV = r"(^|[^\p{L}\p{N}_])[A-Z]{2,6}($|[^\p{L}\p{N}_])"
@@ -10,10 +10,10 @@ KEY = "sha256(lower(trim(coalesce(title, ''))) || '||' || trim(coalesce(text_nor
 STRIPPED = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text_raw, ''), '<[^>]+>', ' ', 'g'), '\$[^$]*\$', ' ', 'g'), '\\[a-zA-Z]+\{{[^}}]*\}}', ' ', 'g'), '{SPACE}', ' ', 'g'))"""
 
 
-def _run(stage: str) -> str:
-    return f"""run_{stage} AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logged ASC NULLS LAST, doc_id) AS INTEGER) AS rank, score
-  FROM (SELECT query_id, doc_id, max(score) AS score, min(rank) AS logged FROM runs WHERE stage = '{stage}' AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)
-  QUALIFY rank <= 100)"""
+def _run(stage: str, depth: int | None = None) -> str:
+    cut = f"QUALIFY rank <= {depth}" if depth else ""
+    return f"""run_{stage}{depth or ""} AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logged ASC NULLS LAST, doc_id) AS INTEGER) AS rank, score
+  FROM (SELECT query_id, doc_id, max(score) AS score, min(rank) AS logged FROM runs WHERE stage = '{stage}' AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL) {cut})"""
 
 
 def _rrf(name: str, first: str, second: str, k: int) -> str:
@@ -49,16 +49,16 @@ def _eval(name: str, run: str, k: int, ideal: str, asked: str | None = None, joi
 
 def _ceiling(stage: str) -> str:
     return f"""ceiling_{stage} AS (SELECT k, avg(coalesce(hits, 0)::DOUBLE / n) AS recall, count(*) AS n_queries, avg(CASE WHEN hits > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_queries_with_hit
-  FROM (SELECT unnest({list(KS)})::INTEGER AS k) CROSS JOIN (SELECT DISTINCT query_id FROM run_{stage}) JOIN (SELECT query_id, count(*) AS n FROM judged WHERE relevance > 0 GROUP BY 1) USING (query_id)
-  LEFT JOIN (SELECT query_id, kk AS k, count(*) AS hits FROM run_{stage} JOIN judged USING (query_id, doc_id) CROSS JOIN (SELECT unnest({list(KS)})::INTEGER AS kk) WHERE relevance > 0 AND rank <= kk GROUP BY ALL) USING (query_id, k) GROUP BY k)"""
+  FROM (SELECT unnest({list(KS)})::INTEGER AS k) CROSS JOIN (SELECT DISTINCT query_id FROM run_{stage}{POOL}) JOIN (SELECT query_id, count(*) AS n FROM judged WHERE relevance > 0 GROUP BY 1) USING (query_id)
+  LEFT JOIN (SELECT query_id, kk AS k, count(*) AS hits FROM run_{stage}{POOL} JOIN judged USING (query_id, doc_id) CROSS JOIN (SELECT unnest({list(KS)})::INTEGER AS kk) WHERE relevance > 0 AND rank <= kk GROUP BY ALL) USING (query_id, k) GROUP BY k)"""
 
 
 BASE = ",\n".join(
     [
         "WITH judged AS (SELECT query_id, doc_id, max(relevance) AS relevance FROM qrels WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND relevance IS NOT NULL GROUP BY ALL)",
-        *map(_run, ("bm25", "dense", "hybrid")),
-        _rrf("fused", "run_bm25", "run_dense", 20),
-        _rrf("fused50", "run_bm25", "run_dense", 50),
+        *[_run(s, depth) for s in ("bm25", "dense", "hybrid") for depth in (None, POOL)],
+        _rrf("fused", "run_bm25100", "run_dense100", 20),
+        _rrf("fused50", "run_bm25100", "run_dense100", 50),
         "dtok AS (SELECT doc_id, corpus_ord, regexp_extract_all(lower(coalesce(text_norm, '')), '[a-z0-9]+') AS ts FROM corpus)",
         "totals AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM dtok)",
         "tf AS (SELECT doc_id, corpus_ord, len(ts) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(ts) AS term FROM dtok) GROUP BY ALL)",
@@ -69,7 +69,7 @@ BASE = ",\n".join(
         "bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qtok JOIN idf USING (term) JOIN tf USING (term) CROSS JOIN totals GROUP BY ALL)",
         "bm_all AS (SELECT q.query_id, c.doc_id, c.corpus_ord, round(coalesce(score, 0.0::DOUBLE), 9) AS score FROM (SELECT DISTINCT query_id FROM queries WHERE query_id IS NOT NULL) q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = c.doc_id)",
         "bm_top AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_ord, doc_id) AS INTEGER) AS rank FROM bm_all QUALIFY rank <= 100)",
-        _rrf("hybrid_own", "bm_top", "run_dense", 20),
+        _rrf("hybrid_own", "bm_top", "run_dense100", 20),
         _scored("scored", "fused"),
         _scored("scored50", "fused50"),
         _rerun("rerun", "scored", 20),
@@ -151,19 +151,19 @@ SQL = {
     "wilcoxon_stats": f"""{BASE}, d AS (SELECT round(delta, 9) AS d FROM pairs WHERE round(delta, 9) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
 s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0.0::DOUBLE) AS p, coalesce(sum(r) FILTER (d < 0), 0.0::DOUBLE) AS m FROM r)
 SELECT n AS n_nonzero, p AS w_pos, m AS w_neg, least(p, m) AS w_stat, round(CASE WHEN n > 0 THEN (p - n * (n + 1) / 4.0::DOUBLE - 0.5::DOUBLE * CASE WHEN p > n * (n + 1) / 4.0::DOUBLE THEN 1 ELSE -1 END) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) ELSE 0.0::DOUBLE END, 9) AS z FROM s""",
-    "bootstrap_hash_ci": f"""{BASE}, x AS (SELECT b, delta, CAST(substr(query_id, 2) AS BIGINT) % 2147483647 AS row FROM pairs CROSS JOIN (SELECT unnest(range(1000)) AS b)),
+    "bootstrap_hash_ci": f"""{BASE}, x AS (SELECT b, delta, CAST(substr(query_id, 2) AS BIGINT) % 2147483647 AS row FROM pairs CROSS JOIN (SELECT unnest(range(10000)) AS b)),
 h AS (SELECT b, delta, ((((b * 1103515245 + row * 12345677 + 42) % 2147483647) * 48271 % 2147483647) * 69621 + b) % 2147483647 / 2147483647::DOUBLE AS u FROM x),
 m AS (SELECT b, sum(({_poisson_thresholds()}) * delta) / sum({_poisson_thresholds()}) AS m FROM h GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM m)
-SELECT round(max(m) FILTER (i = 26), 9) AS ci_lower, round(max(m) FILTER (i = 975), 9) AS ci_upper FROM o""",
+SELECT round(max(m) FILTER (i = 251), 9) AS ci_lower, round(max(m) FILTER (i = 9750), 9) AS ci_upper FROM o""",
     "rank_delta_table": f"{BASE} SELECT * FROM deltas",
     "ndcg_delta": f"{BASE} SELECT query_id, round(stage1, 9) AS ndcg_stage1, round(stage2, 9) AS ndcg_ce, round(delta, 9) AS ndcg_delta FROM pairs",
     "case_selection": f'{BASE}, {_CASE_RULES} SELECT "case", query_id, note, query_raw FROM picked LEFT JOIN queries USING (query_id)',
     "case_evidence": f'''{BASE}, {_CASE_RULES} SELECT "case", query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank_ce ASC NULLS LAST, rank_stage1 ASC NULLS LAST, doc_id) AS INTEGER) AS row, doc_id, rank_stage1, rank_ce, delta, is_relevant
   FROM deltas JOIN picked USING (query_id) QUALIFY row <= 8''',
     "lexical_mismatch": f"""{BASE} SELECT query_id, coalesce(query_raw, '') AS query, doc_id, coalesce(title, '') AS doc_title, coalesce(b.rank::VARCHAR, 'not in top-100') AS bm25_rank, d.rank AS dense_rank
-  FROM judged JOIN run_dense d USING (query_id, doc_id) LEFT JOIN run_bm25 b USING (query_id, doc_id) JOIN queries USING (query_id) LEFT JOIN corpus USING (doc_id) WHERE relevance > 0 AND d.rank <= 5 AND (b.rank IS NULL OR b.rank > 15)""",
+  FROM judged JOIN run_dense100 d USING (query_id, doc_id) LEFT JOIN run_bm25100 b USING (query_id, doc_id) JOIN queries USING (query_id) LEFT JOIN corpus USING (doc_id) WHERE relevance > 0 AND d.rank <= 5 AND (b.rank IS NULL OR b.rank > 15)""",
     "semantic_drift": f"""{BASE} SELECT query_id, coalesce(query_raw, '') AS query, doc_id, coalesce(title, '') AS doc_title, d.rank AS dense_rank
-  FROM run_dense d JOIN queries USING (query_id) LEFT JOIN corpus USING (doc_id) LEFT JOIN judged j USING (query_id, doc_id) WHERE d.rank <= 3 AND coalesce(relevance, 0) <= 0""",
+  FROM run_dense100 d JOIN queries USING (query_id) LEFT JOIN corpus USING (doc_id) LEFT JOIN judged j USING (query_id, doc_id) WHERE d.rank <= 3 AND coalesce(relevance, 0) <= 0""",
     "worst5": f"{BASE} SELECT query_id, round(stage1, 9) AS stage1, round(stage2, 9) AS stage2, round(delta, 9) AS delta FROM pairs ORDER BY round(delta, 9), query_id LIMIT 5",
     "truncated_relevant": f"{BASE} SELECT count(*) FILTER (is_relevant AND was_truncated) AS n_relevant_truncated FROM deltas",
     "latency_summary": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS v_min, max(value) AS v_max, count(value) AS n_runs FROM events GROUP BY event_type",
