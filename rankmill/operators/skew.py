@@ -15,6 +15,8 @@ from rankmill.operators.storage import materialize
 
 #: A key is hot if it owns at least this share of the rows; fewer than 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 0.001
+#: Ways by which the rows of hot keys go through a shuffle.
+SALTS = 4096
 
 
 def lookup(left: DataFrame, dim: DataFrame, on: Sequence[str], hot: Column, how: str = "inner") -> DataFrame:
@@ -22,17 +24,25 @@ def lookup(left: DataFrame, dim: DataFrame, on: Sequence[str], hot: Column, how:
 
     ``hot`` is a condition on ``dim`` that few keys can meet, because each such key stands for
     a fixed share of the rows of ``left`` (see HOT_SHARE): that part of ``dim`` has a proven
-    size bound and is broadcast, the rest is joined by shuffle. ``how`` is inner or left.
-    Rows whose key is null match nothing.
+    size bound and is broadcast. One shuffle join serves the rest; rows that are served already,
+    and rows with a null key, go through it under a salt, evenly spread. ``left`` is read
+    once. ``how`` is inner or left. Rows whose key is null match nothing.
     """
     flagged = dim.withColumn("__hot", F.coalesce(hot, F.lit(False)))
     values = [c for c in dim.columns if c not in on]
-    few = flagged.where("__hot").drop("__hot").withColumn("__in_few", F.lit(True))
-    many = flagged.where("NOT __hot").drop("__hot")
+    own = F.struct(*values) if values else F.struct(F.lit(1).alias("__matched"))
+    few = flagged.where("__hot").select(*on, own.alias("__few"))
+    many = flagged.where("NOT __hot").select(*on, F.lit(0).cast("long").alias("__salt"), own.alias("__many"))
     tried = left.join(F.broadcast(few), list(on), "left")
-    found = tried.where("__in_few").drop("__in_few")
-    rest = tried.where("__in_few IS NULL").drop("__in_few", *values).join(many, list(on), how)
-    return found.select(*rest.columns).unionByName(rest)
+    served = F.col("__few").isNotNull()
+    for c in on:
+        served = served | F.col(c).isNull()
+    # Partition and content, not a random number: a task that runs again sends its rows the same way.
+    salt = F.when(served, 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("long")
+    joined = tried.withColumn("__salt", salt).join(many, [*on, "__salt"], "left").withColumn("__found", F.coalesce("__few", "__many"))
+    if how == "inner":
+        joined = joined.where(F.col("__found").isNotNull())
+    return joined.select(*on, *[c for c in left.columns if c not in on], *[F.col("__found")[v].alias(v) for v in values])
 
 
 def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str = "rank", then: Sequence[str] = ()) -> DataFrame:

@@ -13,20 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of its own."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session on one machine may leave it unset and gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rankmill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/rankmill-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that this application's operators wrote to the shared folder. Results that are still lazy can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
@@ -42,13 +55,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Inputs of up to so many bytes come in fewer scan tasks than there are cores.
-SMALL_INPUT = 8 << 20
+#: Session setting: partitions that ``spread`` makes. Unset on a cluster.
+SPREAD = "spark.rankmill.spread"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores before costly work per row, if the plan's size estimate says that its scan is a task or two; larger inputs stay as they are."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """``df`` over as many partitions as the session asks for in SPREAD, before costly work per row; as it is where that is unset.
+
+    For tables of a single file on one machine, whose scan is one task. The plan depends on
+    the setting alone, never on the input's size.
+    """
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df if wanted is None or df.isStreaming else df.repartition(int(wanted))

@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from rankmill.operators.storage import SPREAD
+
 
 def local_session(name: str = "rankmill", cores: int | str = "*", memory: str = "6g", shuffle_partitions: int = 8) -> SparkSession:
     conf = {
@@ -19,6 +21,7 @@ def local_session(name: str = "rankmill", cores: int | str = "*", memory: str =
         "spark.driver.host": "127.0.0.1",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        SPREAD: str(os.cpu_count() if cores == "*" else cores),  # the test tables are single files
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -86,6 +86,10 @@ def read_manifest(path: str) -> list[dict]:
     return out
 
 
+#: More points than this aren't drawn, and none is left out: ``plot_lines`` raises.
+CHART_POINTS = 10_000
+
+
 def plot_lines(df: DataFrame, x: str, y: str, series: str, path: str) -> bool:
     """A line chart of a small table, one line per series; False where matplotlib isn't installed."""
     try:
@@ -95,7 +99,9 @@ def plot_lines(df: DataFrame, x: str, y: str, series: str, path: str) -> bool:
         from matplotlib import pyplot
     except ImportError:
         return False
-    rows = df.select(x, y, series).orderBy(x).limit(1000).collect()
+    rows = df.select(x, y, series).orderBy(x).limit(CHART_POINTS + 1).collect()
+    if len(rows) > CHART_POINTS:
+        raise ValueError(f"a chart takes {CHART_POINTS} points at most; aggregate the table first")
     figure, axis = pyplot.subplots()
     for name in sorted({r[2] for r in rows}):
         axis.plot([r[0] for r in rows if r[2] == name], [r[1] for r in rows if r[2] == name], marker="o", label=name)

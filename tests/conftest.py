@@ -8,10 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    from rankmill.operators.storage import clean
     from rankmill.session import local_session
 
     session = local_session("tests", cores=4)
     yield session
+    clean(session)
     session.stop()
 
 

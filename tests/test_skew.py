@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators.skew import lookup, rank_in_groups
-from rankmill.operators.storage import materialize, shared_dir
+from rankmill.operators.storage import load, materialize, shared_dir
 
 
 def test_shared_dir_is_stable(spark):
@@ -26,6 +27,35 @@ def test_lookup_splits_hot_keys(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_lookup_reads_its_left_side_once(spark, sf_dir):
+    left = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    dim = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    plan = lookup(left, dim, ["l_orderkey"], F.col("o_custkey") < 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_lookup_spreads_repeated_rows(spark):
+    left = spark.createDataFrame([("hot", 1)] * 300 + [(None, 2)] * 5, "k string, v int").repartition(4)
+    dim = spark.createDataFrame([("hot", 7)], "k string, x int")
+    assert lookup(left, dim, ["k"], F.lit(True)).count() == 300 == lookup(left, dim, ["k"], F.lit(None).cast("boolean")).count()
+    assert lookup(left, dim, ["k"], F.lit(True), "left").where("x IS NULL").count() == 5
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_rank_in_groups_matches_window(spark):
     rng = random.Random(5)
     rows = [("a", i, float(rng.randrange(40))) for i in range(900)] + [(None, i, float(i % 3)) for i in range(20)] + [(f"g{i % 60}", i, rng.random()) for i in range(300)]
