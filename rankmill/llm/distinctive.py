@@ -2,8 +2,9 @@
 
 A record's text is taken as drawn from a mixture of its own model P(t|D) and the background
 P(t|C) of the whole collection; expectation-maximisation moves to the background the mass that
-it explains well, and the converged P(t|D) ranks the record's terms. The background is the
-share of each term among all (record, distinct term) pairs, n_t / sum(n).
+it explains well, and the converged P(t|D) ranks the record's terms (``ranked_terms``). The
+background is the share of each term among all (record, distinct term) pairs, n_t / sum(n).
+``distinctive_terms`` weighs what the model keeps.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from rankmill.operators.storage import materialize, spread
 
 TERM = "[a-z0-9]+"
 #: Weight of the record's own model in the mixture.
-OWN = 0.9
+OWN = 0.1
 #: A term below this probability that the model would shrink further is given to the background.
-FLOOR = 1e-6
-ROUNDS = 12
+FLOOR = 1e-4
+ROUNDS = 30
 #: A vocabulary of up to so many terms (about 100 MB in a worker) is broadcast; a larger one is joined.
 MAX_BROADCAST_TERMS = 1_000_000
 
@@ -92,6 +93,17 @@ def heaviest(rec: np.ndarray, code: np.ndarray, tf: np.ndarray, n: np.ndarray, n
     return rec[order[first]], order[first]
 
 
+def ranked(rec: np.ndarray, code: np.ndarray, tf: np.ndarray, n: np.ndarray, n_rec: int, pairs: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Record, position, probability and place of each term that the models keep."""
+    p, alive = parsimonious(rec, tf, n / pairs, n_rec)
+    p = np.round(p, digits)
+    order = np.flatnonzero(alive)
+    order = order[np.lexsort((code[order], -p[order], rec[order]))]
+    who = rec[order]
+    began = np.searchsorted(who, who)  # ``who`` is sorted
+    return who, order, p[order], (np.arange(len(order)) - began + 1).astype(np.int32)
+
+
 def _counts(texts: list[str | None], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, term code, count) of a batch, sorted by record and code; terms not in ``index`` are left out."""
     import re
@@ -110,27 +122,57 @@ def _counts(texts: list[str | None], index: dict[str, int]) -> tuple[np.ndarray,
     return key // size, key % size, tf.astype(np.float64)
 
 
-def distinctive_terms(records: DataFrame, kind: str, rec_id: str, text: str, vocab: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+_SCHEMA = "kind string, rec_id string, term string"
+
+
+def _named(records: DataFrame, kind: str, rec_id: str, text: str) -> DataFrame:
+    return records.select(F.lit(kind).alias("kind"), F.col(rec_id).cast("string").alias("rec_id"), F.col(text).alias("text"))
+
+
+def collection(*parts: tuple[DataFrame, str, str, str]) -> DataFrame:
+    """One table (kind, rec_id, text) of several, each given as (table, kind, id column, text column); a pass then serves all."""
+    out = _named(*parts[0])
+    for p in parts[1:]:
+        out = out.unionByName(_named(*p))
+    return out
+
+
+def distinctive_terms(records: DataFrame, vocab: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Each record's heaviest term: ``kind``, ``rec_id``, ``term``, out of the terms that its parsimonious model keeps.
 
-    ``vocab`` is what ``vocabulary`` gave, materialised. Texts that are null, empty, without a
+    ``records`` is what ``collection`` gave, ``vocab`` what ``vocabulary`` gave, materialised. Texts that are null, empty, without a
     term or not of ASCII alone have no row; neither have records none of whose terms occurs
     in the collection. Ties go to the alphabetically first term; repeated records are each
     scored; an empty collection or table gives no rows.
     """
+    return _modelled(records, vocab, max_broadcast_terms, heaviest, _SCHEMA)
+
+
+def ranked_terms(records: DataFrame, vocab: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS, digits: int = 6) -> DataFrame:
+    """``kind``, ``rec_id``, ``term``, ``probability`` and ``place`` (from 1): all terms that each record's model keeps, most probable first.
+
+    Probabilities are rounded before they are compared, ties go to the alphabetically first
+    term. Which records and terms take part, and what odd inputs give, is as in ``distinctive_terms``.
+    """
+
+    def rank(rec, code, tf, n, n_rec, n_records, pairs):
+        return ranked(rec, code, tf, n, n_rec, pairs, digits)
+
+    return _modelled(records, vocab, max_broadcast_terms, rank, f"{_SCHEMA}, probability double, place int")
+
+
+def _modelled(records: DataFrame, vocab: DataFrame, max_broadcast_terms: int, pick, schema: str) -> DataFrame:
     head = vocab.where("term = ''").select("n").take(1)
-    records = records.select(F.lit(kind).alias("kind"), F.col(rec_id).cast("string").alias("rec_id"), F.col(text).alias("text"))
     if not head:
-        return records.where("false").select("kind", "rec_id", F.col("text").alias("term"))
+        return records.sparkSession.createDataFrame([], schema)
     n_records = head[0].n
     terms = vocab.where("term <> ''")
     size, pairs = terms.agg(F.count("*"), F.sum("n")).first()
-    if size <= max_broadcast_terms:
-        return _by_broadcast(records, terms, n_records, pairs)
-    return _by_join(records, terms, n_records, pairs)
+    run = _by_broadcast if size <= max_broadcast_terms else _by_join
+    return run(records, terms, n_records, pairs, pick, schema)
 
 
-def _by_broadcast(records: DataFrame, terms: DataFrame, n_records: int, pairs: int) -> DataFrame:
+def _by_broadcast(records: DataFrame, terms: DataFrame, n_records: int, pairs: int, pick, schema: str) -> DataFrame:
     sent = records.sparkSession.sparkContext.broadcast(terms.toArrow().sort_by("term"))
     key = uuid.uuid4().hex
 
@@ -144,13 +186,14 @@ def _by_broadcast(records: DataFrame, terms: DataFrame, n_records: int, pairs: i
             rec, code, tf = _counts(batch.column(2).to_pylist(), index)
             if not len(rec):
                 continue
-            who, at = heaviest(rec, code, tf, n[code], batch.num_rows, n_records, pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array([names[c] for c in code[at]], pa.string())], names=["kind", "rec_id", "term"])
+            who, at, *more = pick(rec, code, tf, n[code], batch.num_rows, n_records, pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array([names[c] for c in code[at]], pa.string()), *map(pa.array, more)], names=columns)
 
-    return spread(records).mapInArrow(score, "kind string, rec_id string, term string")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spread(records).mapInArrow(score, schema)
 
 
-def _by_join(records: DataFrame, terms: DataFrame, n_records: int, pairs: int) -> DataFrame:
+def _by_join(records: DataFrame, terms: DataFrame, n_records: int, pairs: int, pick, schema: str) -> DataFrame:
     """The same with the background joined. Few terms can stand in a thousandth of the records (1000 x terms a record)."""
     rows = materialize(records.withColumn("__row", F.monotonically_increasing_id()), "records")
     counts = rows.select("kind", "rec_id", "__row", F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("kind", "rec_id", "__row", "term").agg(F.count("*").alias("tf"))
@@ -167,7 +210,8 @@ def _by_join(records: DataFrame, terms: DataFrame, n_records: int, pairs: int) -
             rec = np.repeat(np.arange(batch.num_rows), sizes)
             names, tf, n = (x.flatten() for x in lists)
             code = np.arange(len(rec))  # sorted by term within a record
-            who, at = heaviest(rec, code, tf.to_numpy().astype(np.float64), n.to_numpy(), batch.num_rows, n_records, pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), names.take(pa.array(at))], names=["kind", "rec_id", "term"])
+            who, at, *more = pick(rec, code, tf.to_numpy().astype(np.float64), n.to_numpy(), batch.num_rows, n_records, pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), names.take(pa.array(at)), *map(pa.array, more)], names=columns)
 
-    return flat.mapInArrow(score, "kind string, rec_id string, term string")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return flat.mapInArrow(score, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.llm.chunking import split_oversized
-from rankmill.llm.distinctive import distinctive_terms, vocabulary
+from rankmill.llm.distinctive import FLOOR, OWN, ROUNDS, collection, distinctive_terms, ranked_terms, vocabulary
 from rankmill.llm.dress import copies_of_records
 from rankmill.llm.fuse_scores import fuse, majority_winner, score_pool
 from rankmill.llm.leakage import leaked_items
@@ -31,9 +31,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive_terms(*_records_and_vocabulary(spark, sf_dir))
+
+
+def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term that each record's model keeps, with its converged probability and place."""
+    return ranked_terms(*_records_and_vocabulary(spark, sf_dir))
+
+
+def _records_and_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     corpus, queries = load(spark, sf_dir, "corpus"), load(spark, sf_dir, "queries")
-    vocab = materialize(vocabulary(corpus, "text_norm"), "vocabulary")
-    return distinctive_terms(corpus, "corpus", "doc_id", "text_norm", vocab).unionByName(distinctive_terms(queries, "queries", "query_id", "query_norm", vocab))
+    return collection((corpus, "corpus", "doc_id", "text_norm"), (queries, "queries", "query_id", "query_norm")), materialize(vocabulary(corpus, "text_norm"), "vocabulary")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +86,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_fused, p4_found, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_fused, p4_found, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p9_found)}
 
 
 _POOL = """
@@ -90,6 +98,11 @@ pool AS (
   WHERE b IS NOT NULL AND d IS NOT NULL)"""
 
 
+def _em_rounds() -> str:
+    step = "{0} AS MATERIALIZED (SELECT *, e / sum(e) OVER w AS p, sum(e) OVER w AS mass FROM (SELECT kind, rec_id, term, tf, base, tf * ({1} * p) / ({1} * p + base) AS e FROM {2}) WINDOW w AS (PARTITION BY kind, rec_id))"
+    return ",\n".join(step.format(f"m{i + 1}", f"{OWN}::DOUBLE", f"m{i}") for i in range(ROUNDS))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -106,6 +119,15 @@ total AS (SELECT count(DISTINCT rec_id) AS records FROM c),
 w AS (SELECT kind, rec_id, term, round(count(*) * ln(any_value(records) / any_value(n)), 6) AS weight
   FROM (SELECT 'corpus' AS kind, * FROM c UNION ALL SELECT 'queries' AS kind, * FROM q) JOIN df USING (term) CROSS JOIN total GROUP BY kind, rec_id, term)
 SELECT kind, rec_id, term FROM w QUALIFY row_number() OVER (PARTITION BY kind, rec_id ORDER BY weight DESC, term) = 1""",
+        "p2_ranked": f"""
+WITH c AS (SELECT doc_id AS rec_id, unnest(regexp_extract_all(text_norm, '[a-z0-9]+')) AS term FROM corpus WHERE length(text_norm) = strlen(text_norm)),
+q AS (SELECT query_id AS rec_id, unnest(regexp_extract_all(query_norm, '[a-z0-9]+')) AS term FROM queries WHERE length(query_norm) = strlen(query_norm)),
+df AS (SELECT term, count(DISTINCT rec_id) AS n FROM c GROUP BY term),
+t AS (SELECT kind, rec_id, term, count(*)::DOUBLE AS tf FROM (SELECT 'corpus' AS kind, * FROM c UNION ALL SELECT 'queries' AS kind, * FROM q) GROUP BY ALL),
+m0 AS MATERIALIZED (SELECT kind, rec_id, term, tf, (1.0::DOUBLE - {OWN}::DOUBLE) * (n::DOUBLE / (SELECT sum(n) FROM df)) AS base, 0.0::DOUBLE AS e, tf / sum(tf) OVER (PARTITION BY kind, rec_id) AS p, 0.0::DOUBLE AS mass FROM t JOIN df USING (term)),
+{_em_rounds()}
+SELECT kind, rec_id, term, round(p, 6) AS probability, CAST(row_number() OVER (PARTITION BY kind, rec_id ORDER BY round(p, 6) DESC, term) AS INTEGER) AS place
+FROM m{ROUNDS} WHERE NOT (p < {FLOOR}::DOUBLE AND tf * {OWN}::DOUBLE <= mass * (base + {OWN}::DOUBLE * {FLOOR}::DOUBLE))""",
         "p3_found": f"""
 WITH {_POOL}, sizes AS (SELECT query_id, count(*) AS m FROM pool GROUP BY 1),
 won AS (SELECT x.query_id, x.doc_id, count(*) AS n FROM pool x JOIN pool y ON x.query_id = y.query_id AND x.doc_id <> y.doc_id

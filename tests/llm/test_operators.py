@@ -78,13 +78,47 @@ def test_distinctive(spark, bound):
     data = [(f"d{i}", t) for i, t in enumerate(texts)] + [("d0", texts[0])]
     df = spark.createDataFrame(data, "id string, t string")
     vocab = materialize(distinctive.vocabulary(df, "t"), "v")
-    got = distinctive.distinctive_terms(df, "k", "id", "t", vocab, bound)
+    own = distinctive.collection((df, "k", "id", "t"))
+    got = distinctive.distinctive_terms(own, vocab, bound)
     all_texts = [t for _, t in data]
     assert sorted((r.rec_id, r.term) for r in got.collect()) == heaviest(all_texts, data)
-    queries_ = spark.createDataFrame([("q", "zzz r1 c1"), ("p", "zzz"), (None, "c1")], "id string, t string")
-    assert [("q", "r1")] == [(r.rec_id, r.term) for r in distinctive.distinctive_terms(queries_, "k", "id", "t", vocab, bound).collect() if r.rec_id]
+    queries_ = distinctive.collection((spark.createDataFrame([("q", "zzz r1 c1"), ("p", "zzz"), (None, "c1")], "id string, t string"), "q", "id", "t"))
+    assert [("q", "r1")] == [(r.rec_id, r.term) for r in distinctive.distinctive_terms(queries_, vocab, bound).collect() if r.rec_id]
     empty = materialize(distinctive.vocabulary(df.limit(0), "t"), "v")
-    assert distinctive.distinctive_terms(df, "k", "id", "t", empty, bound).count() == 0
+    assert distinctive.distinctive_terms(own, empty, bound).count() == 0 == distinctive.ranked_terms(own, empty, bound).count()
+    assert distinctive.ranked_terms(own.limit(0), vocab, bound).count() == 0
+
+
+def models(texts):
+    """Brute force: term -> probability of each text's parsimonious model, a term at a time."""
+    find = lambda t: re.findall("[a-z0-9]+", t) if t is not None and t.isascii() else []
+    n = collections.Counter(w for t in texts for w in set(find(t)))
+    pairs, own, floor = sum(n.values()), distinctive.OWN, distinctive.FLOOR
+    for t in texts:
+        tf = collections.Counter(find(t))
+        p, mass = {w: c / sum(tf.values()) for w, c in tf.items()}, 0.0
+        for _ in range(distinctive.ROUNDS):
+            e = {w: c * own * p[w] / (own * p[w] + (1 - own) * n[w] / pairs) for w, c in tf.items()}
+            mass = sum(e.values())
+            p = {w: x / mass for w, x in e.items()}
+        yield {w: x for w, x in p.items() if x >= floor or tf[w] * own > mass * ((1 - own) * n[w] / pairs + own * floor)}, tf
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_ranking_by_converged_probability(spark, sf_dir, bound):
+    texts = [r.text_norm for r in load(spark, sf_dir, "corpus").select("text_norm").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    vocab = materialize(distinctive.vocabulary(df, "t"), "v")
+    got = collections.defaultdict(dict)
+    for r in distinctive.ranked_terms(distinctive.collection((df, "k", "id", "t")), vocab, bound).collect():
+        got[int(r.rec_id)][r.place] = (r.term, r.probability)
+    kept = dropped = 0
+    for i, (p, tf) in enumerate(models(texts)):
+        want = sorted(((w, round(x, 6)) for w, x in p.items()), key=lambda x: (-x[1], x[0]))
+        assert [got[i][k + 1][1] for k in range(len(got[i]))] == pytest.approx([x for _, x in want], abs=2e-6)
+        assert {w for w, _ in got[i].values()} == set(p)
+        kept, dropped = kept + len(p), dropped + len(tf) - len(p)
+    assert dropped > 0.2 * kept  # the model gives common terms to the background
 
 
 def test_parsimonious_gives_common_mass_to_background():
