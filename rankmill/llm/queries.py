@@ -61,12 +61,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(load(spark, sf_dir, "corpus"), "doc_id", "text_raw", most=512, least=51, overlap=50, bits=0)
+    return split_oversized(load(spark, sf_dir, "corpus"), "doc_id", "text_raw", most=512, least=51, overlap=50)
 
 
 def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus at hash landmarks, one in 64 tokens."""
-    return split_oversized(load(spark, sf_dir, "corpus"), "doc_id", "text_raw", most=512, least=64, overlap=0, bits=6, only_oversized=False)
+    """The whole corpus at hash landmarks, pieces overlapping by 50 tokens."""
+    return split_oversized(load(spark, sf_dir, "corpus"), "doc_id", "text_raw", most=512, least=64, overlap=50, reach=127, only_oversized=False)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

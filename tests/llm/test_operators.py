@@ -257,17 +257,56 @@ def test_pieces(spark, sf_dir):
     assert rows(chunking.split_oversized(corpus, "doc_id", "text_raw")) == want and want
 
 
-def test_landmark_pieces_cover_and_resist_edits():
+def test_landmarks_against_brute_force():
     rng = random.Random(7)
-    tokens = [f"w{rng.randrange(500)}" for _ in range(6000)]
-    pieces = chunking.pieces_of(tokens, 64, 512, 0, 6)
-    assert [p[0] for p in pieces] == [1, *[p[1] + 1 for p in pieces[:-1]]] and pieces[-1][1] == 6000
-    assert all(64 <= b - a + 1 <= 512 for a, b in pieces[:-1])
-    edited = tokens[:3000] + ["new"] * 5 + tokens[3000:]
-    cuts, after = {b for _, b in pieces}, {b - 5 if b > 3000 else b for _, b in chunking.pieces_of(edited, 64, 512, 0, 6)}
-    assert len(cuts ^ after) <= 6 < len(cuts)
-    with pytest.raises(ValueError):
-        chunking.split_oversized(None, "d", "t", most=10, least=5, overlap=5)
+    for reach in (1, 2, 5, 127):
+        for n in (1, 2, 7, 300):
+            tokens = [f"w{rng.randrange(40)}" for _ in range(n)]
+            h = chunking.rolling_hashes(tokens).tolist()
+            want = [i + 1 for i in range(n) if all(h[i] < h[j] for j in range(max(0, i - reach), min(n, i + reach + 1)) if j != i)]
+            assert chunking.landmarks(tokens, reach).tolist() == want
+    tokens = [f"t{i}" for i in range(30)]
+    assert all(chunking.rolling_hashes(tokens[k:])[20] == chunking.rolling_hashes(tokens)[20 + k] for k in range(1, 9))
+
+
+@pytest.mark.parametrize("vocabulary", [500, 3, 1])
+def test_landmark_pieces_cover_within_sizes(vocabulary):
+    rng = random.Random(8)
+    for _ in range(20):
+        tokens = [f"w{rng.randrange(vocabulary)}" + rng.choice(["", "", "", ".", "."]) for _ in range(rng.randrange(1, 5000))]
+        tokens = [t.capitalize() if rng.random() < 0.5 else t for t in tokens]
+        pieces = chunking.pieces_of(tokens, 64, 512, 50, 127)
+        assert pieces[0][0] == 1 and pieces[-1][1] == len(tokens) and all(b - a < 512 for a, b in pieces)
+        assert all(c == max(1, b - 49) for (_, b), (c, _) in zip(pieces, pieces[1:]))
+        assert all(b - a + 1 >= 64 for a, b in pieces[:-1])
+
+
+def test_an_edit_alters_neighbouring_pieces_only():
+    """No cut changes before the edit by more than reach + snap + the minimum size, nor after the first landmark beyond reach + snap + WINDOW."""
+    rng = random.Random(9)
+    worst = 0
+    for _ in range(60):
+        tokens = [f"W{rng.randrange(500)}" + ("." if rng.random() < 0.05 else "") for _ in range(6000)]
+        at, new = rng.randrange(1000, 4000), ["new"] * rng.randrange(1, 6)
+        edited = tokens[:at] + new + tokens[at:]
+        before = {b for _, b in chunking.pieces_of(tokens, 64, 512, 50, 127)}
+        after = {b if b <= at else b - len(new) for _, b in chunking.pieces_of(edited, 64, 512, 50, 127)}
+        marks = chunking.landmarks(tokens, 127)
+        clear = at + 127 + 32 + chunking.WINDOW + 1
+        resume = int(marks[np.searchsorted(marks, clear + 32)]) + 32
+        changed = before ^ after
+        assert all(at - 127 - 32 - 64 <= c <= resume for c in changed)
+        worst = max(worst, *(c - at for c in changed), 0)
+        assert len(before & after) >= len(before) - 6
+    assert worst < 2000
+
+
+def test_snapping_goes_to_the_nearest_boundary():
+    assert chunking.snapped(np.array([10, 50, 90, 200]), np.array([4, 15, 47, 53, 120]), 6) == [15, 47, 90, 200]
+    assert chunking.snapped(np.array([10]), np.array([], dtype=int), 6) == [10]
+    for bad in ({"most": 10, "least": 5, "overlap": 5}, {"reach": 9}):
+        with pytest.raises(ValueError):
+            chunking.split_oversized(None, "d", "t", **bad)
 
 
 # 6
