@@ -15,7 +15,7 @@ from rankmill.llm.leakage import leaked_items
 from rankmill.llm.stuffing import stuffed_pages
 from rankmill.llm.tokenizing import encode_corpus
 from rankmill.llm.top_n import top_n_per_group
-from rankmill.llm.visual_form import same_looking_pairs
+from rankmill.llm.visual_form import canonical_classes, same_looking_pairs
 from rankmill.operators.storage import load, materialize
 
 SCORES = ("bm25", "dense", "rerank")
@@ -55,9 +55,18 @@ def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(pool, "query_id", "doc_id", SCORES).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [load(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(i).alias("id"), F.col(x).alias("text")) for t, i, x in (("corpus", "doc_id", "text_raw"), ("queries", "query_id", "query_raw"))]
-    return same_looking_pairs(texts[0].unionByName(texts[1]))
+    return texts[0].unionByName(texts[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_looking_pairs(_texts(spark, sf_dir))
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with the class of the records that have its canonical form, case and look-alike letters folded."""
+    return canonical_classes(_texts(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +95,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_fused, p4_found, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_fused, p4_found, p4_canonical, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p9_found)}
 
 
 _POOL = """

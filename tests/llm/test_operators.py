@@ -219,6 +219,37 @@ def test_same_looking_pairs(spark):
     assert visual_form.same_looking_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [1, 3, 1000])
+def test_pairs_in_cells_against_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(visual_form, "CELL", cell)
+    rng = random.Random(13)
+    texts = ["na\u00efve", "nai\u0308ve", "na\u00ef\u200bve", "plain", "pl\u200bain", "\uff50lain", "other", None, ""]
+    data = [(rng.choice("cq"), f"i{rng.randrange(60):02}", rng.choice(texts)) for _ in range(150)]
+    want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in data for b in data if a[2] and b[2] and a[0] == b[0] and a[1] != b[1] and a[2] != b[2] and visual_form.visible_form(a[2]) == visual_form.visible_form(b[2])}
+    assert set(rows(visual_form.same_looking_pairs(spark.createDataFrame(data, "kind string, id string, text string")))) == want
+
+
+def test_canonical_classes(spark, sf_dir):
+    data = [("corpus", r.doc_id, r.text_raw) for r in load(spark, sf_dir, "corpus").collect()] + [("queries", r.query_id, r.query_raw) for r in load(spark, sf_dir, "queries").collect()]
+    data += [("corpus", "x1", "TNF-\u03b1 Rise"), ("corpus", "x2", "tnf-a\u00a0rise"), ("corpus", "x2", "tnf-a\u00a0rise"), ("corpus", None, "a"), ("corpus", "x3", None), ("corpus", "x4", "")]
+    groups = collections.defaultdict(set)
+    for k, i, t in data:
+        if i and t:
+            groups[k, visual_form.canonical_form(t)].add(i)
+    want = sorted((k, i, min(ids), len(ids)) for (k, _), ids in groups.items() for i in ids)
+    df = spark.createDataFrame(data, "kind string, id string, text string")
+    assert rows(visual_form.canonical_classes(df)) == want and ("corpus", "x2", "x1", 2) in want
+    assert visual_form.canonical_classes(df.limit(0)).count() == 0
+
+
+def test_letters_that_pass_for_ascii(tmp_path):
+    for a, b in [("\u03c1", "p"), ("\u03b1", "a"), ("\u03c5", "u"), ("\u03b9", "i"), ("\u04c0", "l"), ("\ua4ee", "A"), ("\ua4d0", "B"), ("\u0251", "a"), ("\u1d04", "c"), ("\u2019", "'"), ("\u2212", "-")]:
+        assert visual_form.canonical_form(a) == visual_form.canonical_form(b) and visual_form.visible_form(a) != visual_form.visible_form(b)
+    (tmp_path / "c.txt").write_text("\ufeff# comment\n0433 ; 0072 ; MA # x\n0030 ; 004F ; MA\n1D41B ; 0062 ; MA\n", encoding="utf-8")
+    table = visual_form.read_confusables(f"{tmp_path}/c.txt")
+    assert visual_form.canonical_form("\u0433\u03b1", table) == "r\u03b1" and "0" not in table.values()
+
+
 def test_many_copies_of_one_spelling(spark):
     hot = spark.range(60_000).select(F.lit("c").alias("kind"), F.format_string("h%06d", "id").alias("id"), F.lit("naïve text").alias("text"))
     other = spark.createDataFrame([("c", "z", "naïve te\u00adxt")], "kind string, id string, text string")
