@@ -1,14 +1,15 @@
 """Each operator against a brute-force version, and on the odd cases its docstring names."""
 
 import collections
+import itertools
 import math
-import os
 import random
 import re
 import textwrap
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,14 +47,39 @@ def test_top_n(spark):
 
 def test_top_n_skips_row_groups(spark, tmp_path):
     df = spark.range(300_000).select(F.lit("hot").alias("g"), F.col("id").cast("string").alias("d"), F.rand(3).alias("s"))
-    path = top_n.cluster_by_group(df, ["g"], "d", "s", [], f"file://{tmp_path}/t", row_group_bytes=1 << 17)
-    counts = [top_n.scan_top_n(f"file://{tmp_path}/t/{f}", 1, 0, 5) for f in os.listdir(tmp_path / "t") if f.endswith(".parquet")]
-    assert sum(c[2] for c in counts) > sum(c[1] for c in counts) > 0
+    files = top_n.cluster_by_group(df, ["g"], "d", "s", [], f"file://{tmp_path}/t")
+    counts = [top_n.scan_top_n(r.uri, 1, 0, 5) for r in files.collect()]
+    assert sum(c[2] for c in counts) > 5 * sum(c[1] for c in counts) > 0
     want = [r.d for r in df.orderBy(F.col("s").desc(), "d").limit(5).collect()]
-    got = top_n.top_n_of_clustered(spark, path, ["g"], "d", "s", [], 5).orderBy("place").collect()
+    got = top_n.top_n_of_clustered(files, df.schema, ["g"], "d", "s", [], 5).orderBy("place").collect()
     assert [r.d for r in got] == want
 
 
+def test_row_groups_of_several_groups_are_skipped(spark, sf_dir, tmp_path):
+    """On the test table most rows aren't read: groups share row groups, and those of lower bands are skipped whole."""
+    df = load(spark, sf_dir.replace("0.001", "0.1"), "runs")
+    files = top_n.cluster_by_group(df, ["query_id", "stage"], "doc_id", "score", ["rank"], f"file://{tmp_path}/t").collect()
+    counts = [top_n.scan_top_n(r.uri, 2, 1, 10)[1:] for r in files]
+    assert sum(r.n_row_groups for r in files) == sum(a + b for a, b in counts)
+    assert sum(b for _, b in counts) > sum(a for a, _ in counts) > 0
+
+
+@pytest.mark.parametrize("row_group,first_band", [(4, 1), (7, 3), (64, 16), (4096, 2)])
+def test_clustered_files_against_brute_force(tmp_path, row_group, first_band):
+    rng = random.Random(row_group)
+    for trial in range(25):
+        data = [(rng.choice(["a", "b", "c", "d", "e", "f"][: rng.randrange(1, 7)]), rng.choice("opqrstuvwxyz"), float(rng.randrange(6)), rng.choice([None, 1, 2])) for _ in range(rng.randrange(1, 200))]
+        data.sort(key=lambda r: (r[0], -r[2], r[3] is None, r[3] or 0, r[1]))
+        table = pa.table({"__g0": [r[0] for r in data], "__score": [r[2] for r in data], "__t0": pa.array([r[3] for r in data], pa.int32()), "__item": [r[1] for r in data]})
+        uri = f"file://{tmp_path}/{trial}.parquet"
+        n_rows, n_row_groups = top_n.write_clustered(iter(table.to_batches(max_chunksize=rng.randrange(1, 60))), uri, 1, row_group, first_band)
+        for n in (1, 3, 20):
+            got, read, skipped = top_n.scan_top_n(uri, 1, 1, n)
+            ordered = sorted(got.to_pylist(), key=lambda r: (r["__g0"], -r["__score"], r["__t0"] is None, r["__t0"] or 0, r["__item"]))
+            mine = [(g, i + 1, r["__item"]) for g, rs in itertools.groupby(ordered, lambda r: r["__g0"]) for i, r in enumerate(rs)]
+            assert mine == best([(g, d, s, k) for g, d, s, k in data], n) and read + skipped == n_row_groups and n_rows == len(data)
+
+
 # 2
 
 
