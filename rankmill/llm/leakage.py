@@ -45,12 +45,12 @@ def word_bits(word: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(xxhash.xxh64_digest(word), dtype=np.uint8)).astype(np.int16) * 2 - 1
 
 
-def fingerprints(bits: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of ``size`` rows of ``bits`` (words x 64 votes)."""
+def fingerprints(bits: np.ndarray, size: int, kind: type = np.int16) -> np.ndarray:
+    """SimHash of each run of ``size`` rows of ``bits`` (words x 64 votes); ``kind`` must hold ``size``."""
     if len(bits) < size:
         return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros((len(bits) + 1, 64), dtype=np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=sums[1:])  # differences are right modulo 2 ** 16
+    sums = np.zeros((len(bits) + 1, 64), dtype=kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])  # differences are right modulo the type's range
     return np.packbits(sums[size:] - sums[:-size] > 0, axis=1).view(np.uint64).ravel()
 
 

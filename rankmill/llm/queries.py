@@ -12,6 +12,7 @@ from rankmill.llm.distinctive import FLOOR, OWN, ROUNDS, collection, distinctive
 from rankmill.llm.dress import copies_of_records
 from rankmill.llm.fuse_scores import fuse, majority_winner, score_pool
 from rankmill.llm.leakage import leaked_items
+from rankmill.llm.near_items import near_items
 from rankmill.llm.stuffing import stuffed_pages
 from rankmill.llm.tokenizing import encode_corpus
 from rankmill.llm.top_n import top_n_per_group
@@ -90,12 +91,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", similarity=1.0)
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item in near copy: five-word shingles, 0.8."""
+    return near_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item with up to a fifth of its words changed: 0.6 of the words, by how often each occurs."""
+    return near_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", shingle=1, similarity=0.6, radius=19)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_fused, p4_found, p4_canonical, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_fused, p4_found, p4_canonical, p5_found, p5_chunks, p6_found, p7_ids, p8_found, p8_near, p8_reworded, p9_found)}
 
 
 _POOL = """

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankmill.llm import chunking, distinctive, dress, fuse_scores, leakage, queries, stuffing, tokenizing, top_n, visual_form
+from rankmill.llm import chunking, distinctive, dress, fuse_scores, leakage, near_items, queries, stuffing, tokenizing, top_n, visual_form
 from rankmill.operators.storage import load, materialize
 
 NAN = float("nan")
@@ -501,6 +501,84 @@ def test_one_changed_word_is_a_near_copy(spark):
     assert leakage.leaked_items(spark.createDataFrame([(1, " ".join(edited))], "d long, t string"), "d", "t", items, "i", "t").count() == 0
 
 
+def changed(rng, words, share, vocabulary):
+    out = list(words)
+    for k in rng.sample(range(len(out)), round(share * len(out))):
+        out[k] = rng.choice(vocabulary)
+    return out
+
+
+@pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.2])
+def test_recall_of_reworded_items(spark, sf_dir, share):
+    """Items planted in documents of the table with this share of their words exchanged; recall is measured at the production parameters."""
+    rng = random.Random(share)
+    items = {r.item_id: leakage.words_of(r.text) for r in load(spark, sf_dir, "eval_items").collect()}
+    texts = [leakage.words_of(r.text) for r in load(spark, sf_dir, "documents").collect() if r.text]
+    vocabulary = [w for t in texts for w in t]
+    docs = []
+    for d, (i, w) in enumerate(items.items()):
+        page = rng.choice(texts)
+        at = rng.randrange(len(page) + 1)
+        docs.append((d, i, " ".join(page[:at] + changed(rng, w, share, vocabulary) + page[at:])))
+    df = spark.createDataFrame([(d, t) for d, _, t in docs], "d long, t string")
+    got = set(rows(near_items.near_items(df, "d", "t", load(spark, sf_dir, "eval_items"), "item_id", "text", shingle=1, similarity=0.6, radius=19)))
+    assert sum((d, i) in got for d, i, _ in docs) >= 0.9 * len(docs)
+    for d, i in got:
+        w, page = items[i], leakage.words_of(docs[d][2])
+        assert any(leakage.shingle_similarity(page[p : p + len(w)], w, 1) >= 0.6 for p in range(len(page) - len(w) + 1))
+
+
+def test_near_items_against_brute_force(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, rng.choices(vocabulary, k=n)) for i, n in enumerate([1, 4, 5, 9, 20, 35, 35, 36, 48, 120, 400])]
+    docs = []
+    for d in range(150):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+            w[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(1, 2))
+        docs.append((d, rng.choices(vocabulary, k=rng.choice([0, 3, 40])) + w + rng.choices(vocabulary, k=rng.choice([0, 30]))))
+    want = {(d, i) for d, a in docs for i, b in items if any(leakage.shingle_similarity(a[p : p + len(b)], b) >= 0.8 for p in range(len(a) - len(b) + 1))}
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in x], "k long, t string") for x in (docs, items)]
+    for entries in (near_items.INDEX_ENTRIES, 500):
+        got = set(rows(near_items.near_items(tables[0], "k", "t", tables[1].withColumnRenamed("k", "i"), "i", "t", index_entries=entries)))
+        assert got <= want and len(got) >= 0.97 * len(want) > 0
+
+
+def test_near_items_odd_cases(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, None), (3, ""), (4, "?!"), (1, "a b c d e f g h i j k l m n")], "i long, t string")
+    docs = spark.createDataFrame([(1, "x A b c d e f g h i j k l m, N y"), (2, "a b c d e f g h i j k l m"), (3, None), (4, ""), (1, "x A b c d e f g h i j k l m, N y"), (None, "a b c d e f g h i j k l m n")], "d long, t string")
+    assert rows(near_items.near_items(docs, "d", "t", items, "i", "t")) == [(1, 1)]
+    assert near_items.near_items(docs.limit(0), "d", "t", items, "i", "t").count() == 0 == near_items.near_items(docs, "d", "t", items.limit(0), "i", "t").count()
+    with pytest.raises(ValueError):
+        near_items.near_items(docs, "d", "t", items, "i", "t", radius=64)
+
+
+def test_multi_index_of_items_is_complete():
+    rng = np.random.default_rng(15)
+    index = near_items.ItemIndex([(i, " ".join(rng.choice([f"v{k}" for k in range(60)], 35))) for i in range(80)], 11, 5, 0.8)
+    probe = index.prints[rng.integers(0, 80, 400)]
+    for _ in range(12):
+        probe = probe ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    size = next(iter(index.sizes))
+    left, right = index.candidates(size, probe)
+    want = {(i, j) for i in range(400) for j in np.flatnonzero(np.bitwise_count(index.prints ^ probe[i]) <= 11)}
+    assert set(zip(left.tolist(), right.tolist())) == want and want
+
+
+def test_windows_of_texts():
+    rng = random.Random(16)
+    for _ in range(200):
+        lengths = [rng.choice([0, 0, 1, 5, 30]) for _ in range(6)]
+        end = np.cumsum(lengths)
+        begin, size, stride = end - lengths, rng.randrange(1, 8), rng.randrange(1, 4)
+        want = sorted({int(b) + min(k, n - size) for b, n in zip(begin, lengths) if n >= size for k in range(0, n - size + stride, stride)})
+        cut = rng.randrange(int(end[-1]) + 1)
+        got = [near_items.window_starts(begin, end, size, stride, a, b).tolist() for a, b in ((0, cut), (cut, int(end[-1])))]
+        assert sorted({*got[0], *got[1]}) == want
+
+
 def test_multi_index_is_complete():
     rng = np.random.default_rng(10)
     index = leakage.WindowIndex([(i, " ".join(rng.choice([f"v{k}" for k in range(60)], 30))) for i in range(40)])
