@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.operators.bm25 import top_of
+from rankmill.operators.bm25 import SCORES_AT_ONCE, RunningTop
 from rankmill.operators.runs import rank_rows
 
-#: Query vectors of one pass over the corpus.
-QUERY_VECTORS = 20_000
+#: Bytes of query vectors of one pass over the corpus, whatever their length.
+QUERY_BYTES = 64 << 20
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -38,15 +38,15 @@ def encoder(encode: Callable[[list[str]], np.ndarray], batch: int = 64):
 def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """query_id, doc_id, score and rank of the ``k`` vectors of highest dot product, ties to the smaller doc_id.
 
-    Exact: every vector is scored, by block products in double precision; a block gives k rows
-    a query and the window merges them. Queries go along in blocks of QUERY_VECTORS. Null
+    Exact: every vector is scored, by block products in double precision; a task keeps the k best
+    rows of each query so far and gives them at its end, and the window merges them. Queries go along in blocks of QUERY_BYTES. Null
     vectors and ids are left out; vectors must have one length.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     asked_kind = asked.schema["query_id"].dataType.simpleString()
-    passes = 1 + asked.count() // QUERY_VECTORS
+    passes = 1 + (asked.agg(F.sum(8 * F.size("v"))).first()[0] or 0) // QUERY_BYTES
     sc, found = docs.sparkSession.sparkContext, None
     for p in range(passes):
         part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
@@ -61,20 +61,25 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
 def _scorer(sent, k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = sent.value
+        n = len(names)
+        top, ids, seen, kind = RunningTop(n, k), [], 0, None
         for batch in batches:
-            if not batch.num_rows or not len(names):
+            size = batch.num_rows
+            if not size or not n:
                 continue
-            lists = batch.column(1)
-            block = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
-            order = np.argsort(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable"))
-            at, score, query = [], [], []
-            for start in range(0, len(names), 256):
-                for q, s in enumerate(np.round(matrix[start : start + 256] @ block.T, digits)):
-                    top = top_of(s, order, k)
-                    at.append(top)
-                    score.append(s[top])
-                    query.append(np.full(len(top), start + q))
-            rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(query))), batch.column(0).take(rows), pa.array(np.concatenate(score))], names=["query_id", "doc_id", "score"])
+            block = batch.column(1).flatten().to_numpy().reshape(size, -1)
+            kind = batch.schema.field(0).type
+            own = batch.column(0).to_pylist()
+            ids.append(pa.array(own, kind))  # copied, so that the batch can go
+            order = np.array([x.encode() for x in own] if isinstance(own[0], str) else own)
+            row = np.arange(seen, seen + size)
+            seen += size
+            step = max(1, SCORES_AT_ONCE // size)
+            for first in range(0, n, step):
+                top.add(first, np.round(matrix[first : first + step] @ block.T, digits), order, row)
+        if kind is not None:
+            docs = pa.chunked_array(ids, kind)
+            for query, score, _, row in top.batches():
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), docs.take(pa.array(row)).combine_chunks(), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return run
