@@ -81,7 +81,7 @@ def classify_failures(failures: DataFrame, deltas: DataFrame, queries: DataFrame
     texts = failures.select("query_id").join(queries.select("query_id", "query_raw"), "query_id", "left").join(target, "query_id", "left").join(wrong, "query_id", "left")
     full = texts.withColumn("wrong_id", F.col("w.doc_id")).join(corpus.select(F.col("doc_id").alias("wrong_id"), F.col("text_raw").alias("wrong_text")), "wrong_id", "left")
     q = X.blank_null(F.col("query_raw"))
-    found = full.withColumn("neg", X.negation(q, X.blank_null(F.col("wrong_text"))))
+    found = full.withColumn("neg", X.negation(q, F.col("wrong_text")))
     cut, short, neg = F.coalesce("t.was_truncated", F.lit(False)), X.has_abbreviation(q), F.col("neg.cue").isNotNull()
     causes = F.concat_ws(", ", F.when(cut, "long_document_truncation"), F.when(short, "abbreviation_ambiguity"), F.when(neg, "negation_context_misreading"))
     said = F.concat_ws(" | ", F.when(cut, F.concat(F.lit("doc "), F.col("t.doc_id"), F.lit(" was_truncated=True"))), F.when(short, F.concat(F.lit("query contains abbreviation(s): "), X.abbreviations(q))),

@@ -88,7 +88,7 @@ def queries_with_several_judgments(qrels: DataFrame) -> DataFrame:
 
 def ambiguous_abbreviations(corpus: DataFrame, min_expansions: int = 2, min_occurrences: int = 3, max_occurrences: int = 40, top_n: int = 10) -> DataFrame:
     """Abbreviations of moderate frequency that stand beside several words, most words per occurrence first, then by name."""
-    each = corpus.where(F.col("text_raw").rlike(X.ABBREVIATION)).select(F.explode(X.abbreviation_contexts("text_raw")).alias("x")).select("x.*")
+    each = corpus.where(F.col("text_raw").rlike(X.ABBREVIATION)).select(F.explode(X.abbreviation_contexts(F.col("text_raw"))).alias("x")).select("x.*")
     by_word = each.groupBy("abbreviation", "word").agg(F.count("*").alias("n"))
     grouped = by_word.groupBy("abbreviation").agg(F.sum("n").alias("n_occurrences"), F.count("word").alias("n_distinct_nearby_words"))
     picked = grouped.where((F.col("n_distinct_nearby_words") >= min_expansions) & F.col("n_occurrences").between(min_occurrences, max_occurrences))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -172,10 +173,46 @@ def test_failure_causes(spark):
     assert analysis.truncated_relevant(deltas).first()[0] == 1
 
 
-def test_negation_windows():
-    assert X.find_negation("casino tables", "the casino floor has tables") == ("no ", ["casino", "tables"])
-    assert X.find_negation("platelet", "not " + "x" * 70 + " platelet") is None
-    assert X.find_negation(None, None) is None
+def negation_by_hand(query, doc, reach=60):
+    """A character at a time: every place at which a cue begins, in order of cues."""
+    wanted, low = set(re.findall("[a-z]{4,}", (query or "").lower())), (doc or "").lower()
+    for cue in X.NEGATION_CUES:
+        for at in range(len(low)):
+            if low.startswith(cue, at):
+                hit = wanted & set(re.findall("[a-z]{4,}", low[max(0, at - reach) : at + len(cue) + reach]))
+                if hit:
+                    return cue, sorted(hit)
+    return None
+
+
+def test_negation_windows(spark):
+    rng = random.Random(17)
+    words = ["platelet", "aspirin", "casino", "floor", "no", "not", "did not", "without", "effect", "x" * 30, "unable to", "\n", "of"]
+    pairs = [("casino tables", "the casino floor has tables"), ("platelet", "not " + "x" * 70 + " platelet"), ("platelet", "platelet" + "y" * 52 + "not "), (None, None), ("aspirin", None), ("", "no aspirin")]
+    pairs += [(" ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=rng.randrange(25)))) for _ in range(300)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, q string, d string")
+    got = {r.i: r.n and (r.n.cue, r.n.words) for r in df.select("i", X.negation(F.col("q"), F.col("d")).alias("n")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [negation_by_hand(*p) for p in pairs] and got[0] == ("no ", ["casino", "tables"])
+
+
+def nearby_by_hand(text, reach=30):
+    out = []
+    for m in re.finditer(r"(?<!\w)[A-Z]{2,6}(?!\w)", text or ""):
+        after = re.match(r"[-( ]*\s*([a-zA-Z][a-zA-Z-]{3,})", text[m.end() : m.end() + reach])
+        before = re.findall(r"[a-zA-Z][a-zA-Z-]{3,}", text[max(0, m.start() - reach) : m.start()])
+        out.append((m[0], after[1].lower() if after else before[-1].lower() if before else None))
+    return out
+
+
+def test_abbreviation_contexts(spark):
+    rng = random.Random(18)
+    parts = ["IL", "TNF", "interleukin", "(IL)", "IL-6", "HIV-infected", "and", "a", "\n", "  ", "é", "x" * 29, "- (", "Toolongword", "ABCDEFG", "NK"]
+    texts = [None, "", "IL"] + ["".join(rng.choice([" ", "", " "]) + rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").where("t IS NOT NULL")
+    got = {r.i: [tuple(x) for x in r.c] for r in df.select("i", X.abbreviation_contexts(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        if t is not None:
+            assert got[i] == nearby_by_hand(t), t
 
 
 def test_mining(spark):
@@ -233,7 +270,7 @@ def test_files(spark, tmp_path):
     assert io.read_table(spark, f"{tmp_path}/csv", scored.schema).first().query_id == "q"
     io.write_object(scored.limit(1), f"{tmp_path}/o.json")
     assert '"doc_id": "a"' in (tmp_path / "o.json").read_text()
-    io.append_manifest(f"{tmp_path}/m.jsonl", runtime.describe_run(spark, "one"))
+    io.append_manifest(f"{tmp_path}/m.jsonl", runtime.run_description(spark, "one", seed=42))
     (tmp_path / "m.jsonl").open("a").write("broken\n")
     io.append_manifest(f"{tmp_path}/m.jsonl", {"run_label": "two"})
     assert [m["run_label"] for m in io.read_manifest(f"{tmp_path}/m.jsonl")] == ["one", "two"]
@@ -250,21 +287,27 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert {(r.query_id, r["rank"]): r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
 
 
-def test_runtime_helpers(tmp_path):
-    assert runtime.percentile([1, 2, 3, 4, 5], 95) == pytest.approx(4.8) and runtime.percentile([7], 50) == 7
-    result, timing = runtime.measure(lambda: 3, "x", 1, 2)
-    assert result == 3 and timing.as_row()["n_runs"] == 2
-    timer = runtime.StageTimer()
-    for _ in range(2):
-        with timer.stage("a"):
-            pass
-    with timer.stage("b"):
-        pass
-    assert [r["operation"] for r in timer.summary()] == ["a", "b", "total"] and timer.summary()[2]["n_runs"] == 1
-    c = runtime.Config({"a": {"b": "x"}}, str(tmp_path))
-    assert c.get("a.b") == "x" and c.get("a.c", 5) == 5 and c.path("a.b").endswith("x")
-    with pytest.raises(KeyError):
-        c.require("a.z")
+def test_timings(spark):
+    t = runtime.Timings()
+    assert t.repeat("x", lambda: 3, 1, 2) == 3 and [r[:2] for r in t.rows] == [("x", 1), ("x", 2)]
+    rows = [("a", i + 1, float(x)) for i, x in enumerate((1, 2, 3, 4, 5))] + [("b", 1, 10.0), ("b", 2, 20.0)]
+    got = {r.operation: r for r in runtime.summarise(spark.createDataFrame(rows, "operation string, run int, ms double")).collect()}
+    assert (got["a"].p50_ms, got["a"].p95_ms, got["a"].mean_ms, got["a"].min_ms, got["a"].max_ms, got["a"].n_runs) == (3.0, 4.8, 3.0, 1.0, 5.0, 5)
+    assert (got["total"].n_runs, got["total"].min_ms, got["total"].max_ms) == (2, 11.0, 22.0)
+    assert {r.operation for r in runtime.summarise(t.table(spark)).collect()} == {"x"}
+    with pytest.raises(KeyError), t.of("broken"):
+        raise KeyError
+    assert t.rows[-1][0] == "broken"
+
+
+def test_settings(tmp_path):
+    (tmp_path / "s.json").write_text('{"retrieval": {"bm25": {"k1": 0.9}, "candidate_pool_sizes": [5, 7]}, "own": {"x": 1}}')
+    s = runtime.read_settings(f"{tmp_path}/s.json")
+    assert (s.k1, s.b, s.pool_sizes, s["own.x"]) == (0.9, 0.75, (5, 7), 1) and s is runtime.read_settings(f"{tmp_path}/s.json")
+    with pytest.raises(KeyError, match="own.z"):
+        s["own.z"]
+    with pytest.raises(AttributeError):
+        s.k1 = 2
 
 
 def test_every_query_has_a_stable_schema(spark, sf_dir):
