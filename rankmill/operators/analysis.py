@@ -94,6 +94,20 @@ def cause_histogram(classified: DataFrame) -> DataFrame:
     return classified.select(F.explode(F.split("causes", ", ")).alias("cause")).groupBy("cause").agg(F.count("*").alias("count"))
 
 
+def truncated_failures(classified: DataFrame) -> DataFrame:
+    """Of the failed queries, how many show truncation."""
+    shown = F.col("causes").contains("long_document_truncation")
+    return classified.agg(F.count_if(shown).alias("n_truncated"), F.count("*").alias("n_failures"))
+
+
+def grid_gap(grid: DataFrame, better: str, other: str, metric: str = "ndcg") -> DataFrame:
+    """One row: how far one model leads another at the smallest and at the largest pool that both have, and whether its lead widens."""
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col(metric)))
+    by_k = grid.groupBy("k").agg((of(better) - of(other)).alias("gap")).where("gap IS NOT NULL")
+    row = by_k.agg(F.min("k").alias("k_min"), F.max("k").alias("k_max"), F.min_by("gap", "k").alias("gap_at_min"), F.max_by("gap", "k").alias("gap_at_max"))
+    return row.withColumn("widens", F.col("gap_at_max") > F.col("gap_at_min"))
+
+
 def truncated_relevant(deltas: DataFrame) -> DataFrame:
     """Number of (query, relevant document) rows whose document is long."""
     return deltas.agg(F.coalesce(F.sum(F.when(F.col("is_relevant") & F.col("was_truncated"), 1).otherwise(0)), F.lit(0)).alias("n_relevant_truncated"))

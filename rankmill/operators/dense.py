@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankmill.operators.bm25 import SCORES_AT_ONCE, RunningTop
 from rankmill.operators.runs import rank_rows
+from rankmill.operators.storage import spread
 
 #: Bytes of query vectors of one pass over the corpus, whatever their length.
 QUERY_BYTES = 64 << 20
@@ -20,7 +21,10 @@ QUERY_BYTES = 64 << 20
 def l2_normalize(vector: Column) -> Column:
     """Unit length; the zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(vector)
+    # As an array of one, vector and length are evaluated once and not for each component.
+    once = F.array(F.struct(vector.alias("v"), norm.alias("n")))
+    unit = F.transform(once, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: (x / s["n"]).cast("float"))).otherwise(s["v"]))
+    return F.element_at(unit, 1)
 
 
 def encoder(encode: Callable[[list[str]], np.ndarray], batch: int = 64):
@@ -43,7 +47,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
     vectors and ids are left out; vectors must have one length.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = spread(docs).where(F.col(doc_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     asked_kind = asked.schema["query_id"].dataType.simpleString()
     passes = 1 + (asked.agg(F.sum(8 * F.size("v"))).first()[0] or 0) // QUERY_BYTES

@@ -16,10 +16,10 @@ def ideal(qrels: DataFrame, k: int) -> DataFrame:
     return placed.groupBy("query_id").agg(F.count("*").alias("n_relevant"), gain.alias("idcg"))
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, k: int = 5, run_queries: DataFrame | None = None, skip_unjudged: bool = True) -> DataFrame:
+def evaluate(run: DataFrame, qrels: DataFrame, k: int = 5, run_queries: DataFrame | None = None, skip_unjudged: bool = True, mrr_at: int | None = None) -> DataFrame:
     """query_id, precision, precision_ceiling, recall, mrr and ndcg at ``k`` for each query of the run.
 
-    Precision divides by k, however short the ranking. The reciprocal rank isn't cut. Ideal
+    Precision divides by k, however short the ranking. The reciprocal rank isn't cut, or counts first hits up to place ``mrr_at`` only. Ideal
     gains are those of all positive judgments; a negative grade lowers the gain of a ranking.
     ``run_queries``: queries of the run, those with an empty ranking included, which score 0.
     Queries without a positive judgment are left out, or score 0 with ``skip_unjudged=False``. A
@@ -31,8 +31,9 @@ def evaluate(run: DataFrame, qrels: DataFrame, k: int = 5, run_queries: DataFram
     judged = asked.join(ideal(qrels, k), "query_id", "inner" if skip_unjudged else "left")
     hits = run.select("query_id", "doc_id", "rank").join(qrels, ["query_id", "doc_id"])  # documents without a judgment add nothing
     relevant, near = F.col("relevance") > 0, F.col("rank") <= k
+    first = relevant if mrr_at is None else relevant & (F.col("rank") <= mrr_at)
     found = hits.groupBy("query_id").agg(
-        F.sum(F.when(near & relevant, 1).otherwise(0)).alias("hits"), F.min(F.when(relevant, F.col("rank"))).alias("first"),
+        F.sum(F.when(near & relevant, 1).otherwise(0)).alias("hits"), F.min(F.when(first, F.col("rank"))).alias("first"),
         F.sum(F.when(near, F.col("relevance") / F.log2(F.col("rank") + 1.0))).alias("dcg"),
     )
     n, zero = F.coalesce("n_relevant", F.lit(0)), F.lit(0.0)

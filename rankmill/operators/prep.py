@@ -22,16 +22,19 @@ def clean_corpus(raw: DataFrame, with_title: bool = True) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of lowest ``order`` for each key. By aggregation, so that a key with many rows is combined before the shuffle; ties of ``order`` give one row."""
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__first"))
-    return first.select(*[F.col(f"__first.{c}").alias(c) if c != key else F.col(key) for c in df.columns])
+    """The row of lowest ``order`` for each key; rows that tie in both all stay.
+
+    Only (key, order) is aggregated, combined before its shuffle, so that a key with many rows is
+    spread; the rows then meet the (key, order) that are kept, each pair in a place of its own.
+    """
+    first = df.groupBy(key).agg(F.min(order).alias(order))
+    return df.join(first, [key, order], "left_semi").select(*df.columns)
 
 
 def prepare_corpus(raw: DataFrame, with_title: bool = True) -> DataFrame:
-    """The cleaned, deduplicated corpus with n_tokens and has_abbrev.
+    """The cleaned, deduplicated corpus with n_tokens and has_abbrev; ``corpus_ord`` must be unique.
 
-    Only keys are shuffled to find the first of each set of copies; the texts stay where they are until the semi-join.
+    Keys find the first of each set of copies; the cleaned texts are shuffled at most once, to meet the keys that stay.
     """
     cleaned = clean_corpus(raw, with_title)
     return add_text_flags(keep_first(cleaned, "dedup_key", "corpus_ord")).drop("dedup_key")
@@ -72,7 +75,7 @@ def prep_counters(raw: DataFrame, corpus: DataFrame) -> DataFrame:
     title, abstract = X.blank_null(F.col("title")), X.blank_null(F.col("abstract"))
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
     before = raw.agg(
-        F.count("*").alias("n_raw"), flag(F.trim(abstract) == "").alias("n_empty_abstract"),
+        F.count("*").alias("n_raw"), flag(F.trim(abstract) == "").alias("n_empty_abstract"), flag((F.trim(abstract) == "") & (F.trim(title) != "")).alias("n_title_only"),
         flag(X.has_html(title)).alias("n_html_title"), flag(X.has_html(abstract)).alias("n_html_abstract"),
         flag(X.has_latex(title)).alias("n_latex_title"), flag(X.has_latex(abstract)).alias("n_latex_abstract"),
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.functions import text as X
-from rankmill.operators import analysis, bm25, dense, metrics, prep, rerank, runs, significance
+from rankmill.operators import analysis, bm25, dense, hybrid, metrics, prep, rerank, runs, significance
 from rankmill.operators.storage import load, materialize
 
 KS = (5, 10, 20, 50, 100)
@@ -119,7 +121,8 @@ def queries_with_several_judgments(spark, d):
 
 
 def ambiguous_abbrevs(spark, d):
-    return prep.ambiguous_abbreviations(_corpus(spark, d).where("text_raw IS NOT NULL"))
+    found = prep.ambiguous_abbreviations(_corpus(spark, d).where("text_raw IS NOT NULL"))
+    return found.withColumn("sample_nearby_words", F.array_join("sample_nearby_words", ", "))
 
 
 # --- first stage
@@ -153,6 +156,12 @@ def hybrid_topk(spark, d):
     return runs.reciprocal_rank_fusion([own, _stage(spark, d, "dense", POOL)], 60, 20).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
+def hybrid_own_topk(spark, d):
+    """Both searches are the library's own; hashed term vectors stand in for an encoder."""
+    corpus, queries_ = _corpus(spark, d), _queries(spark, d)
+    return hybrid.search(corpus, queries_, bm25.build(corpus)).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
 def packed_runs(spark, d):
     return runs.pack(_stage(spark, d, "hybrid")).select("query_id", F.array_join("docs", " ").alias("docs"))
 
@@ -174,13 +183,29 @@ def truncation_rate(spark, d):
 
 def pair_trace(spark, d):
     t = rerank.pair_trace(_fused(spark, d), _queries(spark, d), _corpus(spark, d), rerank.OverlapScorer())
-    return t.select("query_id", "doc_id", F.size("input_ids").alias("n_ids"), F.array_join("tokens", " ").alias("tokens"), "n_tokens_before_truncation", "was_truncated", "logit")
+    return t.select("query_id", "query", "doc_id", F.array_join("tokens", " ").alias("tokens"), "n_tokens_before_truncation", "was_truncated", "logit")
+
+
+def model_trace(spark, d):
+    """The trace by the ids of a public tokenizer."""
+    vocabulary = os.path.join(os.environ.get("RANKMILL_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
+    return rerank.model_trace(_fused(spark, d), _queries(spark, d), _corpus(spark, d), rerank.OverlapScorer(), vocabulary)
+
+
+def _grid(spark, d):
+    pool = materialize(_fused(spark, d, max(GRID)), "pool")
+    scorers = {"overlap": rerank.OverlapScorer(), "density": rerank.DensityScorer()}
+    scored = {m: materialize(rerank.score_pool(pool, _queries(spark, d), _corpus(spark, d), s, max(GRID)), "scored") for m, s in scorers.items()}
+    return rerank.grid(scored, _qrels(spark, d), pool.select("query_id").distinct(), GRID)
 
 
 def grid_k(spark, d):
-    scored = materialize(_scored(spark, d, max(GRID)), "scored")
-    rows = rerank.grid({"overlap": scored}, _qrels(spark, d), scored.select("query_id").distinct(), GRID)
-    return rows.select("model", "k", F.round("ndcg", 9).alias("ndcg"), F.round("mrr", 9).alias("mrr"), "n_queries")
+    return _grid(spark, d).select("model", "k", F.round("ndcg", 9).alias("ndcg"), F.round("mrr", 9).alias("mrr"), "n_queries")
+
+
+def grid_gap(spark, d):
+    row = analysis.grid_gap(_grid(spark, d).withColumn("ndcg", F.round("ndcg", 9)), "density", "overlap")
+    return row.select("k_min", "k_max", F.round("gap_at_min", 9).alias("gap_at_min"), F.round("gap_at_max", 9).alias("gap_at_max"), "widens")
 
 
 # --- evaluation
@@ -202,6 +227,11 @@ def metrics_unjudged_too(spark, d):
     return _rounded(metrics.evaluate(_stage(spark, d, "bm25"), _qrels(spark, d), 10, _queries(spark, d).select("query_id"), skip_unjudged=False))
 
 
+def metrics_mrr_cut(spark, d):
+    """Reciprocal ranks of the first five places only."""
+    return metrics.evaluate(_stage(spark, d, "bm25"), _qrels(spark, d), mrr_at=5).select("query_id", F.round("mrr", 9).alias("mrr"))
+
+
 def metrics_aggregate(spark, d):
     out = None
     for stage in ("bm25", "dense", "hybrid"):
@@ -232,7 +262,7 @@ def wilcoxon_stats(spark, d):
 
 
 def wilcoxon_p(spark, d):
-    return significance.wilcoxon(_pairs(spark, d))
+    return _rounded(significance.wilcoxon(_pairs(spark, d), digits=9), ("z", "p_value"))
 
 
 def bootstrap_hash_ci(spark, d):
@@ -299,6 +329,10 @@ def cause_histogram(spark, d):
     return analysis.cause_histogram(_failures(spark, d))
 
 
+def truncated_failures(spark, d):
+    return analysis.truncated_failures(_failures(spark, d))
+
+
 def truncated_relevant(spark, d):
     return analysis.truncated_relevant(_deltas(spark, d))
 
@@ -317,10 +351,10 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             markup_stripped, clean_text, prepared_corpus, dedup_keep_first, token_stats, abbrev_flag, length_summary, prep_counters, queries_semi, prepared_queries, qrels_semi,
-            queries_with_several_judgments, ambiguous_abbrevs, term_df_idf, bm25_scores, bm25_topk, dense_topk, rrf_hybrid_topk, hybrid_topk, packed_runs, unpacked_runs,
-            rerank_overlap_topk, truncation_rate, pair_trace, grid_k, metrics_per_query, metrics_unjudged_too, metrics_aggregate, recall_ceiling, recall_ceiling_pivot,
+            queries_with_several_judgments, ambiguous_abbrevs, term_df_idf, bm25_scores, bm25_topk, dense_topk, rrf_hybrid_topk, hybrid_topk, hybrid_own_topk, packed_runs, unpacked_runs,
+            rerank_overlap_topk, truncation_rate, pair_trace, model_trace, grid_k, grid_gap, metrics_per_query, metrics_mrr_cut, metrics_unjudged_too, metrics_aggregate, recall_ceiling, recall_ceiling_pivot,
             per_query_deltas, compare_runs, wilcoxon_stats, wilcoxon_p, bootstrap_hash_ci, bootstrap_replay_ci, rank_delta_table, ndcg_delta, case_selection, case_evidence,
-            lexical_mismatch, semantic_drift, worst5, failure_causes, cause_histogram, truncated_relevant, latency_summary,
+            lexical_mismatch, semantic_drift, worst5, failure_causes, cause_histogram, truncated_failures, truncated_relevant, latency_summary,
         )
     }
 

@@ -30,6 +30,12 @@ def _scored(name: str, pool: str) -> str:
   FROM {pool} p JOIN (SELECT query_id, coalesce(query_raw, '') AS q FROM queries) USING (query_id) JOIN (SELECT doc_id, coalesce(text_raw, '') AS t FROM corpus) USING (doc_id))"""
 
 
+def _dense(name: str, pool: str) -> str:
+    words = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{4,}}'))".format
+    return f"""{name} AS (SELECT query_id, doc_id, p.rank AS stage1_rank, round(len(list_intersect({words("q")}, {words("t")}))::DOUBLE / greatest(len({words("t")}), 1), 9) AS score
+  FROM {pool} p JOIN (SELECT query_id, coalesce(query_raw, '') AS q FROM queries) USING (query_id) JOIN (SELECT doc_id, coalesce(text_raw, '') AS t FROM corpus) USING (doc_id))"""
+
+
 def _rerun(name: str, scored: str, k: int) -> str:
     return f"""{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, stage1_rank) AS INTEGER) AS rank FROM {scored} WHERE stage1_rank <= {k})"""
 
@@ -72,6 +78,7 @@ BASE = ",\n".join(
         _rrf("hybrid_own", "bm_top", "run_dense100", 20),
         _scored("scored", "fused"),
         _scored("scored50", "fused50"),
+        _dense("dense50", "fused50"),
         _rerun("rerun", "scored", 20),
         "stage1 AS (SELECT query_id, doc_id, stage1_rank AS rank FROM scored)",
         _ideal("ideal5", 5),
@@ -116,7 +123,47 @@ p5 AS (SELECT * FROM r5 WHERE query_id NOT IN (SELECT query_id FROM p1 UNION SEL
 picked AS (SELECT c AS "case", query_id, note FROM p1 UNION ALL SELECT c, query_id, note FROM p2 UNION ALL SELECT c, query_id, note FROM p3 UNION ALL SELECT c, query_id, note FROM p4 UNION ALL SELECT c, query_id, note FROM p5)
 """
 
-_grid_ctes = ",\n".join(x for k in GRID for x in (_rerun(f"rr{k}", "scored50", k), _eval(f"ge{k}", f"rr{k}", 5, "ideal5", "scored50")))
+_WILCOXON = """d AS (SELECT round(delta, 9) AS d FROM pairs WHERE round(delta, 9) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
+s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0.0::DOUBLE) AS p, coalesce(sum(r) FILTER (d < 0), 0.0::DOUBLE) AS m FROM r),
+w AS (SELECT n AS n_nonzero, p AS w_pos, m AS w_neg, least(p, m) AS w_stat, CASE WHEN n > 0 THEN (p - n * (n + 1) / 4.0::DOUBLE - 0.5::DOUBLE * CASE WHEN p > n * (n + 1) / 4.0::DOUBLE THEN 1 ELSE -1 END) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) ELSE 0.0::DOUBLE END AS z FROM s)"""
+# erf by its series of positive terms.
+_P = "CASE WHEN n_nonzero = 0 OR z = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(abs(z) / sqrt(2)) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"
+
+MODELS = {"overlap": "scored50", "density": "dense50"}
+_grid_ctes = ",\n".join(x for m, s in MODELS.items() for k in GRID for x in (_rerun(f"{m}{k}", s, k), _eval(f"{m}_at{k}", f"{m}{k}", 5, "ideal5", "fused50")))
+GRID_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS model, {k} AS k, round(avg(ndcg), 9) AS ndcg, round(avg(mrr), 9) AS mrr, count(*) AS n_queries FROM {m}_at{k}" for m in MODELS for k in GRID)
+
+CUES = ["no ", "not ", "fails to", "failed to", "does not", "did not", "cannot", "can not", "without", "lack of", "absence of", "none of", "neither", "unable to", "no evidence"]
+_short_names = r"coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}')))), ', '), '')".format
+_failure_ctes = f"""failed AS (SELECT query_id FROM pairs ORDER BY round(delta, 9), query_id LIMIT 5),
+own AS (SELECT * FROM deltas JOIN failed USING (query_id)),
+target AS (SELECT query_id, doc_id, was_truncated FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT is_relevant, coalesce(rank_stage1, 2147483647), doc_id) = 1),
+wrong AS (SELECT query_id, lower(coalesce(text_raw, '')) AS low FROM (SELECT query_id, doc_id FROM own WHERE NOT is_relevant QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rank_ce, 2147483647), doc_id) = 1) LEFT JOIN corpus USING (doc_id)),
+cues AS (SELECT unnest({CUES}) AS cue, unnest(range(1, {len(CUES)} + 1)) AS place),
+told AS (SELECT query_id, coalesce(query_raw, '') AS q FROM failed LEFT JOIN queries USING (query_id)),
+near AS (SELECT query_id, cue, list_sort(list_intersect(list_distinct(list_transform(regexp_extract_all(q, '[a-zA-Z]{{4,}}'), lambda x: lower(x))), list_distinct(regexp_extract_all(substr(low, greatest(1, i - 60), i - greatest(1, i - 60) + length(cue) + 60), '[a-zA-Z]{{4,}}')))) AS words, place, i
+  FROM (SELECT query_id, low, unnest(range(1, length(low) + 1)) AS i FROM wrong) JOIN told USING (query_id) JOIN cues ON substr(low, i, length(cue)) = cue),
+negated AS (SELECT query_id, cue, words FROM near WHERE len(words) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, i) = 1),
+shown AS (SELECT query_id, q, target.doc_id, coalesce(was_truncated, FALSE) AS cut, regexp_matches(q, '{ABBREV}') AS short, cue, words FROM told LEFT JOIN target USING (query_id) LEFT JOIN negated USING (query_id)),
+classified AS (SELECT query_id, q AS query, coalesce(nullif(concat_ws(', ', CASE WHEN cut THEN 'long_document_truncation' END, CASE WHEN short THEN 'abbreviation_ambiguity' END, CASE WHEN cue IS NOT NULL THEN 'negation_context_misreading' END), ''), 'topic_or_entity_mismatch (requires manual annotation)') AS causes,
+  coalesce(nullif(concat_ws(' | ', CASE WHEN cut THEN 'doc ' || doc_id || ' was_truncated=True' END, CASE WHEN short THEN 'query contains abbreviation(s): ' || {_short_names("q")} END, CASE WHEN cue IS NOT NULL THEN 'negation cue ''' || cue || ''' near query term(s): ' || array_to_string(words, ', ') END), ''), 'none of the automated checks fired') AS evidence,
+  CAST(cut::INT + short::INT + (cue IS NOT NULL)::INT AS INTEGER) AS n_automated_causes FROM shown)"""
+_hashed = "list_transform(range(0, 64), lambda d: len(list_filter(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda t: (length(t) * 31 + ascii(t) * 7 + ascii(right(t, 1)) * 13) % 64), lambda p: p = d))::DOUBLE)".format
+_unit = "CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT::DOUBLE) ELSE v END"
+_hybrid_ctes = f"""dv AS MATERIALIZED (SELECT doc_id, {_unit} AS v FROM (SELECT doc_id, {_hashed("text_norm")} AS v FROM corpus)),
+qv AS MATERIALIZED (SELECT query_id, {_unit} AS v FROM (SELECT query_id, {_hashed("query_raw")} AS v FROM queries WHERE query_id IS NOT NULL)),
+hashed_top AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(list_dot_product(qv.v, dv.v), 6) AS score FROM qv, dv) QUALIFY rank <= 100),
+rtok AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(coalesce(query_raw, '')), '[a-z0-9]+')) AS term FROM queries WHERE query_id IS NOT NULL) GROUP BY ALL),
+rbm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM rtok JOIN idf USING (term) JOIN tf USING (term) CROSS JOIN totals GROUP BY ALL),
+rbm_top AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_ord, doc_id) AS INTEGER) AS rank
+  FROM (SELECT q.query_id, c.doc_id, c.corpus_ord, round(coalesce(score, 0.0::DOUBLE), 9) AS score FROM (SELECT DISTINCT query_id FROM queries WHERE query_id IS NOT NULL) q CROSS JOIN corpus c LEFT JOIN rbm ON rbm.query_id = q.query_id AND rbm.doc_id = c.doc_id) QUALIFY rank <= 100),
+{_rrf("hybrid_both", "rbm_top", "hashed_top", 20)}"""
+_abbreviation_ctes = rf"""pieces AS (SELECT doc_id, text_raw, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, text_raw, regexp_extract_all(text_raw, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS ps FROM corpus WHERE text_raw IS NOT NULL)),
+placed AS (SELECT *, 1 + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pieces),
+sides AS (SELECT piece AS abbreviation, substr(text_raw, greatest(1, start - 30), start - greatest(1, start - 30)) AS b, substr(text_raw, start + length(piece), 30) AS a FROM placed WHERE regexp_full_match(piece, '[A-Z]{{2,6}}')),
+contexts AS (SELECT abbreviation, lower(coalesce(nullif(regexp_extract(a, '^[-( ]*(?:{SPACE})?([a-zA-Z][a-zA-Z-]{{3,}})', 1), ''), regexp_extract_all(b, '[a-zA-Z][a-zA-Z-]{{3,}}')[-1])) AS word FROM sides),
+chosen AS (SELECT abbreviation, count(*) AS n_occurrences, count(DISTINCT word) AS n_distinct_nearby_words, list_sort(list_distinct(list(word) FILTER (word IS NOT NULL)))[:8] AS sample FROM contexts GROUP BY 1
+  HAVING count(DISTINCT word) >= 2 AND count(*) BETWEEN 3 AND 40 ORDER BY count(DISTINCT word)::DOUBLE / count(*) DESC, abbreviation LIMIT 10)"""
 
 SQL = {
     "markup_stripped": f"SELECT doc_id, {STRIPPED} AS text FROM corpus",
@@ -139,7 +186,6 @@ SQL = {
     "unpacked_runs": f"{BASE} SELECT query_id, doc_id, rank, 'hybrid' AS stage FROM run_hybrid",
     "rerank_overlap_topk": f"{BASE} SELECT query_id, doc_id, rank, score, n_tokens_before_truncation, n_tokens_before_truncation > 512 AS was_truncated FROM rerun",
     "truncation_rate": f"{BASE} SELECT round(coalesce(avg(CASE WHEN n_tokens_before_truncation > 512 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 9) AS truncation_pct, count(*) AS n_pairs FROM scored",
-    "grid_k": f"{BASE},\n{_grid_ctes}\n" + " UNION ALL ".join(f"SELECT 'overlap' AS model, {k} AS k, round(avg(ndcg), 9) AS ndcg, round(avg(mrr), 9) AS mrr, count(*) AS n_queries FROM ge{k}" for k in GRID),
     "metrics_per_query": f"{BASE} SELECT query_id, {METRICS} FROM ev_hybrid",
     "metrics_unjudged_too": f"{BASE} SELECT query_id, {METRICS} FROM ev_all",
     "metrics_aggregate": f"{BASE} " + " UNION ALL ".join(f"SELECT {MEANS}, {PCT}, count(*) AS n_queries, '{s}' AS method FROM ev_{s}" for s in ("bm25", "dense", "hybrid")),
@@ -148,9 +194,21 @@ SQL = {
     "per_query_deltas": f"{BASE} SELECT query_id, round(stage1, 9) AS stage1, round(stage2, 9) AS stage2, round(delta, 9) AS delta FROM pairs",
     "compare_runs": f"""{BASE} SELECT count(*) AS n_queries, round(avg(stage1), 9) AS baseline_mean, round(avg(stage2), 9) AS treatment_mean, round(avg(delta), 9) AS mean_delta, count(*) FILTER (delta > 1e-9) AS n_improved, count(*) FILTER (delta < -1e-9) AS n_degraded,
   count(*) FILTER (abs(delta) <= 1e-9) AS n_unchanged, round(100.0::DOUBLE * count(*) FILTER (delta > 1e-9) / count(*), 9) AS pct_improved, round(100.0::DOUBLE * count(*) FILTER (delta < -1e-9) / count(*), 9) AS pct_degraded FROM pairs""",
-    "wilcoxon_stats": f"""{BASE}, d AS (SELECT round(delta, 9) AS d FROM pairs WHERE round(delta, 9) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
-s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0.0::DOUBLE) AS p, coalesce(sum(r) FILTER (d < 0), 0.0::DOUBLE) AS m FROM r)
-SELECT n AS n_nonzero, p AS w_pos, m AS w_neg, least(p, m) AS w_stat, round(CASE WHEN n > 0 THEN (p - n * (n + 1) / 4.0::DOUBLE - 0.5::DOUBLE * CASE WHEN p > n * (n + 1) / 4.0::DOUBLE THEN 1 ELSE -1 END) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) ELSE 0.0::DOUBLE END, 9) AS z FROM s""",
+    "grid_k": f"{BASE},\n{_grid_ctes}\n{GRID_ROWS}",
+    "grid_gap": f"""{BASE},\n{_grid_ctes}, g AS ({GRID_ROWS}), gaps AS (SELECT k, max(ndcg) FILTER (model = 'density') - max(ndcg) FILTER (model = 'overlap') AS gap FROM g GROUP BY k)
+SELECT min(k) AS k_min, max(k) AS k_max, round(arg_min(gap, k), 9) AS gap_at_min, round(arg_max(gap, k), 9) AS gap_at_max, arg_max(gap, k) > arg_min(gap, k) AS widens FROM gaps""",
+    "hybrid_own_topk": f"{BASE},\n{_hybrid_ctes} SELECT query_id, doc_id, round(rrf, 9) AS rrf, rank FROM hybrid_both",
+    "ambiguous_abbrevs": f"WITH {_abbreviation_ctes} SELECT abbreviation, n_occurrences, n_distinct_nearby_words, array_to_string(sample, ', ') AS sample_nearby_words FROM chosen",
+    "pair_trace": f"""{BASE}, one AS (SELECT query_id, query, doc_id, list_concat(['[CLS]'], regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9]+'), ['[SEP]'], regexp_extract_all(lower(t), '[a-z0-9]+'))[:511] AS ts, n_tokens_before_truncation, score
+  FROM scored JOIN (SELECT query_id, query_raw AS query FROM queries) USING (query_id) JOIN (SELECT doc_id, coalesce(text_raw, '') AS t FROM corpus) USING (doc_id) WHERE stage1_rank = 1)
+SELECT query_id, query, doc_id, array_to_string(ts, ' ') || ' [SEP]' AS tokens, n_tokens_before_truncation, n_tokens_before_truncation > 512 AS was_truncated, score AS logit FROM one""",
+    "failure_causes": f"{BASE},\n{_failure_ctes} SELECT query_id, query, causes, evidence, n_automated_causes FROM classified",
+    "cause_histogram": f"{BASE},\n{_failure_ctes} SELECT cause, count(*) AS count FROM (SELECT unnest(string_split(causes, ', ')) AS cause FROM classified) GROUP BY cause",
+    "truncated_failures": f"{BASE},\n{_failure_ctes} SELECT count(*) FILTER (contains(causes, 'long_document_truncation')) AS n_truncated, count(*) AS n_failures FROM classified",
+    "metrics_mrr_cut": f"""{BASE} SELECT query_id, round(coalesce(1.0::DOUBLE / min(rank) FILTER (relevance > 0 AND rank <= 5), 0.0::DOUBLE), 9) AS mrr FROM run_bm25 LEFT JOIN judged USING (query_id, doc_id)
+WHERE query_id IN (SELECT query_id FROM judged WHERE relevance > 0) GROUP BY query_id""",
+    "wilcoxon_stats": f"{BASE}, {_WILCOXON} SELECT n_nonzero, w_pos, w_neg, w_stat, round(z, 9) AS z FROM w",
+    "wilcoxon_p": f"{BASE}, {_WILCOXON} SELECT n_nonzero, w_pos, w_neg, w_stat, round(z, 9) AS z, round({_P}, 9) AS p_value FROM w",
     "bootstrap_hash_ci": f"""{BASE}, x AS (SELECT b, delta, CAST(substr(query_id, 2) AS BIGINT) % 2147483647 AS row FROM pairs CROSS JOIN (SELECT unnest(range(10000)) AS b)),
 h AS (SELECT b, delta, ((((b * 1103515245 + row * 12345677 + 42) % 2147483647) * 48271 % 2147483647) * 69621 + b) % 2147483647 / 2147483647::DOUBLE AS u FROM x),
 m AS (SELECT b, sum(({_poisson_thresholds()}) * delta) / sum({_poisson_thresholds()}) AS m FROM h GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM m)
@@ -170,7 +228,7 @@ SELECT round(max(m) FILTER (i = 251), 9) AS ci_lower, round(max(m) FILTER (i = 9
     "abbrev_flag": rf"""SELECT doc_id, regexp_matches(coalesce(text_raw, ''), '{ABBREV}') AS has_abbrev_now,
   coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(title, ''), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}')))), ', '), '') AS title_abbrevs FROM corpus""",
     "prep_counters": rf"""WITH k AS (SELECT text_raw FROM corpus QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY corpus_ord) = 1),
-b AS (SELECT count(*) AS n_raw, count(*) FILTER (trim(coalesce(text_raw, '')) = '') AS n_empty_abstract, count(*) FILTER (regexp_matches(title, '<[^>]+>') OR contains(title, '&')) AS n_html_title, count(*) FILTER (regexp_matches(text_raw, '<[^>]+>') OR contains(text_raw, '&')) AS n_html_abstract,
+b AS (SELECT count(*) AS n_raw, count(*) FILTER (trim(coalesce(text_raw, '')) = '') AS n_empty_abstract, count(*) FILTER (trim(coalesce(text_raw, '')) = '' AND trim(coalesce(title, '')) <> '') AS n_title_only, count(*) FILTER (regexp_matches(title, '<[^>]+>') OR contains(title, '&')) AS n_html_title, count(*) FILTER (regexp_matches(text_raw, '<[^>]+>') OR contains(text_raw, '&')) AS n_html_abstract,
   count(*) FILTER (regexp_matches(title, '\$[^$]*\$') OR regexp_matches(title, '\\[a-zA-Z]+\{{[^}}]*\}}')) AS n_latex_title, count(*) FILTER (regexp_matches(text_raw, '\$[^$]*\$') OR regexp_matches(text_raw, '\\[a-zA-Z]+\{{[^}}]*\}}')) AS n_latex_abstract FROM corpus),
 a AS (SELECT count(*) AS n_kept, count(*) FILTER (regexp_matches(coalesce(text_raw, ''), '{ABBREV}')) AS n_abbrev FROM k)
 SELECT *, round(100.0::DOUBLE * n_abbrev / n_kept, 6) AS pct_abbrev, n_raw - n_kept AS n_removed, n_html_title + n_html_abstract AS n_html, n_latex_title + n_latex_abstract AS n_latex FROM a, b""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,15 +19,33 @@ def _strings(*names: str) -> T.StructType:
 def read_collection(spark: SparkSession, corpus_jsonl: str, queries_jsonl: str, qrels_tsv: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A retrieval collection as JSON lines (_id, title, text) and tab-separated judgments with a header.
 
-    Ids become strings in all three tables, so that joins don't lose rows to types;
-    ``corpus_ord`` follows the order of the files.
+    Ids become strings in all three tables, so that joins don't lose rows to types. ``corpus_ord`` (see ``in_file_order``)
+    follows the names of the files and the order of their lines, however the files are split.
     """
-    corpus = spark.read.schema(_strings("_id", "title", "text")).json(corpus_jsonl).withColumnsRenamed({"_id": "doc_id", "text": "abstract"}).withColumn("corpus_ord", F.monotonically_increasing_id())
+    corpus = in_file_order(spark.read.schema(_strings("_id", "title", "text")).json(corpus_jsonl), "corpus_ord").withColumnsRenamed({"_id": "doc_id", "text": "abstract"})
     queries = spark.read.schema(_strings("_id", "text")).json(queries_jsonl).withColumnsRenamed({"_id": "query_id", "text": "query_text"})
     qrels = spark.read.schema(_strings("query_id", "doc_id", "relevance")).option("sep", "\t").option("header", True).csv(qrels_tsv)
     return corpus, queries, qrels.withColumn("relevance", F.col("relevance").cast("double"))
 
 
+#: Rows that a part of a file can have, as their numbers take the lower bits of the order.
+PART_ROWS = 1 << 33
+
+
+def in_file_order(scan: DataFrame, order: str) -> DataFrame:
+    """A scan of files with a column that numbers its rows in the order of file name, part of the file and row; unique, with gaps.
+
+    Splits are packed into tasks by size, so a task's number says nothing about where its rows stand. The starts of the
+    parts, one for each split, are numbered by name and place and broadcast; in a part, rows come in order.
+    """
+    parts = scan.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")).distinct()
+    by_place = Window.orderBy("__path", "__start")
+    numbered = parts.withColumn("__part", F.row_number().over(by_place) - 1)
+    # The number that increases through a task does so in each of its parts too.
+    rows = scan.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().bitwiseAND(F.lit(PART_ROWS - 1)).alias("__row"))
+    return rows.join(F.broadcast(numbered), ["__path", "__start"]).withColumn(order, F.col("__part") * F.lit(PART_ROWS) + F.col("__row")).drop("__path", "__start", "__part", "__row")
+
+
 def write_prepared(folder: str, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> None:
     for name, df in (("corpus", corpus), ("queries", queries), ("qrels", qrels)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
@@ -86,6 +104,17 @@ def read_manifest(path: str) -> list[dict]:
     return out
 
 
+def table_text(df: DataFrame, most: int = 100) -> str:
+    """A small result table as aligned text, for a terminal; numbers stand to the right, doubles have four decimals. Raises beyond ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a printed table takes {most} rows at most")
+    number = [kind not in ("string", "boolean") and not kind.startswith(("array", "struct", "map")) for _, kind in df.dtypes]
+    cells = [df.columns, *[["-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows]]
+    width = [max(len(c[i]) for c in cells) for i in range(len(df.columns))]
+    return "\n".join("  ".join(c.rjust(w) if right else c.ljust(w) for c, w, right in zip(line, width, number)).rstrip() for line in cells)
+
+
 #: More points than this aren't drawn, and none is left out: ``plot_lines`` raises.
 CHART_POINTS = 10_000
 

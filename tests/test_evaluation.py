@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -233,7 +234,7 @@ def test_reranking(spark):
     scored = rerank.score_pool(pool, queries, corpus, scorer)
     assert rerank.truncation_rate(scored).first().truncation_pct == 25.0 and rerank.truncation_rate(scored.limit(0)).first().truncation_pct == 0.0
     trace = rerank.pair_trace(pool, queries, corpus, scorer).first()
-    assert trace.tokens[0] == "[CLS]" and trace.tokens[-1] == "[SEP]" and len(trace.tokens) == len(trace.input_ids)
+    assert trace.tokens[0] == "[CLS]" and trace.tokens[-1] == "[SEP]" and len(trace.tokens) == trace.n_tokens_before_truncation == 8
     model = rerank.ModelScorer("length", lambda: lambda pairs: ([len(t) for _, t in pairs], [len(q.split()) + len(t.split()) for q, t in pairs]))
     assert [r.doc_id for r in rerank.rerank(pool, queries, corpus, model).orderBy("rank").collect()] == ["c", "b", "a", "d"]
     grid = rerank.grid({"overlap": scored}, judged(spark, {"q": {"b": 1}}), queries, (1, 3)).orderBy("k").collect()
@@ -245,6 +246,66 @@ def test_reranking(spark):
     assert rerank.resolve_scorer(broken, lambda: scorer) is scorer and rerank.resolve_scorer(lambda: model, broken) is model
 
 
+VOCABULARY = os.path.join(os.environ.get("RANKMILL_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
+
+
+def test_model_trace(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    corpus = corpus_of(spark, [("a", "", "Aspirin inhibits platelets.", 3), ("b", "", "word " * 900, 900), ("c", "", None, 0)])
+    queries, pool = queries_of(spark, [("q1", "Aspirin?"), ("q2", "long " * 300), ("q3", "x")]), run(spark, {"q1": ["a"], "q2": ["b"], "q3": ["c"]})
+    got = {r.query_id: r for r in rerank.model_trace(pool, queries, corpus, rerank.OverlapScorer(), VOCABULARY).collect()}
+    t = tokenizers.Tokenizer.from_file(VOCABULARY)
+    q, d = (t.encode(x, add_special_tokens=False).ids for x in ("Aspirin?", "Aspirin inhibits platelets."))
+    assert got["q1"].input_ids == [49406, *q, 49407, *d, 49407] and not got["q1"].was_truncated and len(got["q1"].tokens) == len(got["q1"].input_ids)
+    assert len(got["q2"].input_ids) == 512 and got["q2"].was_truncated and got["q2"].n_tokens_before_truncation == 1203
+    assert got["q2"].input_ids.index(49407) == 256 and len(got["q3"].input_ids) == 4
+
+
+@pytest.mark.parametrize("a,b,room", [(3, 4, 9), (10, 3, 9), (3, 10, 9), (10, 10, 9), (10, 9, 9), (9, 10, 9), (0, 20, 9), (20, 0, 9), (5, 4, 9), (5, 5, 9)])
+def test_the_longer_gives_way(a, b, room):
+    x, y = a, b
+    while x + y > room:
+        x, y = (x - 1, y) if x > y else (x, y - 1)
+    got = rerank._longest_first(a, b, room)
+    assert got == (x, y)
+
+
+def test_timed_grid_and_gap(spark):
+    corpus = corpus_of(spark, [("a", "", "aspirin " + "word " * 9 + "other text here", 12), ("b", "", "aspirin", 1), ("c", "", "nothing", 1)])
+    queries, pool = queries_of(spark, [("q", "aspirin study")]), run(spark, {"q": ["c", "a", "b"]})
+    rows = rerank.timed_grid({"one": rerank.OverlapScorer(), "two": rerank.DensityScorer()}, pool, queries, corpus, judged(spark, {"q": {"b": 1}}), (1, 3), warmup=1, repeats=2)
+    got = {(r.model, r.k): r for r in rows.collect()}
+    assert set(got) == {(m, k) for m in ("one", "two") for k in (1, 3)} and got["two", 3].model_name == "density" and got["two", 3].ndcg == 1.0 and all(0 < r.latency_p50_ms <= r.latency_p95_ms for r in got.values())
+    gap = analysis.grid_gap(rows.select("model", "k", "ndcg"), "two", "one").first()
+    assert (gap.k_min, gap.k_max, gap.gap_at_min, gap.widens) == (1, 3, 0.0, gap.gap_at_max > 0)
+
+
+def test_reciprocal_rank_with_a_cut(spark):
+    r, q = run(spark, {"q1": ["a", "b", "c"], "q2": ["c"]}), judged(spark, {"q1": {"c": 1}, "q2": {"c": 1}})
+    assert {x.query_id: x.mrr for x in metrics.evaluate(r, q, mrr_at=2).collect()} == {"q1": 0.0, "q2": 1.0}
+    assert {x.query_id: x.mrr for x in metrics.evaluate(r, q).collect()} == {"q1": pytest.approx(1 / 3), "q2": 1.0}
+
+
+# The non-zero differences in nDCG@5 of a published comparison over 300 queries, and how often each occurs.
+PUBLISHED = {
+    0.36907024642854247: 11, -0.36907024642854247: 11, -0.5: 9, -0.13092975357145753: 6, 0.5: 5, 1.0: 4, 0.43067655807339306: 3, -0.6309297535714575: 3, -0.08027921085181244: 3,
+    -0.5693234419266069: 3, -1.0: 3, 0.13092975357145753: 2, -0.20025319549806447: 2, 0.5693234419266069: 2, -0.38685280723454163: 2, 0.14965509446524541: 2, 0.38685280723454163: 2,
+    0.3490790701928675: 1, 0.04382375083885143: 1, 0.0325320165108306: 1, -0.16958010263680812: 1, 0.07284476575819265: 1, 0.6309297535714575: 1, -0.07817485246961253: 1,
+    -0.43067655807339306: 1, 0.22629438553091674: 1, -0.34907907019286744: 1, -0.3065735963827292: 1, 0.2440769463369159: 1, 0.1815417925373526: 1, -0.6509209298071326: 1, 0.44149241373678083: 1,
+}
+
+
+def test_published_significance(spark):
+    deltas = [x for x, n in PUBLISHED.items() for _ in range(n)]
+    deltas += [0.0] * (300 - len(deltas))
+    df = spark.createDataFrame([(x,) for x in deltas], "delta double")
+    row = significance.wilcoxon(df).first()
+    assert (row.n_nonzero, row.w_stat) == (88, 1775.0) and (row.z, row.p_value) == pytest.approx((-0.7593561543, 0.4476395345), abs=1e-9)
+    pairs = df.withColumn("query_id", F.monotonically_increasing_id()).withColumn("stage1", F.lit(0.0)).withColumn("stage2", F.col("delta"))
+    c = metrics.compare(pairs).first()
+    assert (c.n_improved, c.n_degraded, c.n_unchanged) == (40, 48, 212) and c.mean_delta == pytest.approx(-0.0093274203, abs=1e-10)
+
+
 def test_pipeline(spark, sf_dir):
     raw = load(spark, sf_dir, "corpus").select("doc_id", "title", F.col("text_raw").alias("abstract"), "corpus_ord")
     p = pipelines.prepare(raw, load(spark, sf_dir, "queries").select("query_id", F.col("query_raw").alias("query_text")), load(spark, sf_dir, "qrels"), with_title=False)
@@ -276,6 +337,33 @@ def test_files(spark, tmp_path):
     assert [m["run_label"] for m in io.read_manifest(f"{tmp_path}/m.jsonl")] == ["one", "two"]
 
 
+def test_order_of_many_files(spark, tmp_path):
+    """Names, sizes and splits in no order: rows are numbered by file name and line all the same."""
+    (tmp_path / "in").mkdir()
+    rng, want = random.Random(19), []
+    for name in sorted(f"part-{i:02}" for i in range(12)):
+        lines = [f"{name}:{i}" for i in range(rng.choice([1, 3, 400]))]
+        want += lines
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(f'{{"_id": "{x}", "title": "{"t" * 40}"}}\n' for x in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            corpus = io.in_file_order(spark.read.schema("_id string, title string").json(f"{tmp_path}/in"), "o")
+            assert [r["_id"] for r in corpus.orderBy("o").collect()] == want and corpus.select("o").distinct().count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_printed_tables_and_charts(spark, tmp_path):
+    df = spark.createDataFrame([("bm25", 5, 0.72181), ("x", 10, None)], "method string, k int, recall double")
+    assert io.table_text(df) == "method   k  recall\nbm25     5  0.7218\nx       10       -"
+    with pytest.raises(ValueError):
+        io.table_text(spark.range(101))
+    with pytest.raises(ValueError):
+        io.plot_lines(spark.range(io.CHART_POINTS + 1).selectExpr("id AS x", "id AS y", "'s' AS s"), "x", "y", "s", f"{tmp_path}/c.png") or pytest.skip("no matplotlib")
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     from rankmill.operators import bm25
 

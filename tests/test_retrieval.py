@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankmill.operators import bm25, dense, prep, runs
+from rankmill.operators import bm25, dense, hybrid, prep, runs
 from rankmill.operators.storage import load
 from rankmill.plans import catalogue
 
@@ -88,6 +88,42 @@ def test_encoder_and_normalisation(spark):
     assert unit[0].v == pytest.approx([0.6, 0.8]) and unit[1].v == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_dense_over_many_batches(spark, kind):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, (400, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n long, embedding array<double>").select(F.col("n").cast(kind).alias("id"), "embedding").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = dense.search(df, df.where("CAST(id AS INT) % 50 = 0"), 6, "id", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    full = np.round(v @ v.T, 6)
+    key = (lambda i: i) if kind == "long" else str
+    want = {(key(q), n + 1): key(d) for q in range(0, 400, 50) for n, d in enumerate(sorted(range(400), key=lambda i: (-full[q, i], key(i)))[:6])}
+    assert {(r.query_id, r["rank"]): r.doc_id for r in rows} == want
+
+
+def test_search_over_many_batches(spark, collection):
+    corpus, _, queries, _ = collection
+    index = bm25.build(corpus)
+    want = {(r.query_id, r["rank"]): r.doc_id for r in bm25.search(corpus, queries, index, 9).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert {(r.query_id, r["rank"]): r.doc_id for r in bm25.search(corpus, queries, index, 9).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_hybrid_of_both_searches(spark):
+    corpus = spark.createDataFrame([("a", "aspirin reduces pain", 0), ("b", "unrelated words", 1), ("c", None, 2), ("d", "pain", 3)], "doc_id string, text_norm string, corpus_ord long")
+    queries = spark.createDataFrame([("q", "Aspirin pain"), ("n", None), (None, "pain")], "query_id string, query_raw string")
+    rows = hybrid.search(corpus, queries, bm25.build(corpus), k=3).collect()
+    assert {r.query_id for r in rows} == {"q", "n"} and next(r.doc_id for r in rows if r.query_id == "q" and r["rank"] == 1) == "a"
+    v = np.array(spark.createDataFrame([("ab ab c",), ("",)], "t string").select(hybrid.hashed_terms(F.col("t")).alias("v")).collect()[0].v)
+    assert np.linalg.norm(v) == pytest.approx(1) and sorted(v[v > 0].round(4).tolist()) == [0.4472, 0.8944]
+
+
 def run_of(spark, docs, q="q"):
     return spark.createDataFrame([(q, d, i + 1) for i, d in enumerate(docs)], "query_id string, doc_id string, rank int")
 
