@@ -1,17 +1,18 @@
 """Problem 9: keyword-stuffed pages, link lists and product tags.
 
-Two measurements per page are combined. Clause structure: which words stand in text that has
-the function words of a sentence around them; phrases without a sentence end that say the same
-again and again have none, whatever function words they hold. Repetition: the page's words are put into a
-suffix automaton, and the characters covered by repeated maximal substrings are marked. A run
-of words without clause structure counts as stuffing if repeated substrings, links and tags cover enough
-of its characters; a page is stuffed if more than half of its words count.
+Two measurements per page are combined, neither of which knows any language. Clause structure:
+words in a phrase of some length that a sentence end closes, unless it is as short as a
+keyword and says what other phrases of the page say too. Repetition: the page's words go into a suffix
+array, which holds the repeated maximal substrings that a suffix automaton does, and the characters
+are marked that those of two words or more cover which occur AGAIN times; a single word counts, from
+its second time on, where it stands between marks. Few words that are shuffled, without a mark, are told by
+their share of the run. A run of words without clause structure counts as stuffing if repeated substrings, links and
+tags cover enough of its characters; a page is stuffed if more than half of its words count.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,60 +22,66 @@ from pyspark.sql import functions as F
 
 from rankmill.operators.storage import spread
 
-# Common function words and auxiliaries of the corpus's languages, which sentences can't do without.
-FUNCTION_WORDS = frozenset(
-    # English
-    "the of and in was were is are to that with by for from on at than not as an a or be been which whether into this these those between through had has have did do does may after before under above within without during our we i it its s t but up used can "
-    # German
-    "der die das und von wir zu auf ist nicht mit für ein eine einem einer über unter dem den des bei wird durch nach bisher als um blieb wurde aus sich "
-    # French
-    "le la les de du et un une dans à été est en par pour que qu l d n y après chez avec sur ces ce aucun nous était pendant "
-    # Spanish
-    "el los las se una del por con para su sus entre según nuestros durante después o al es "
-    "".split()
-)
-# Characters that Han and kana sentences can't do without.
-FUNCTION_CHARACTERS = frozenset("的了是在和与及或也不没无我你他她它们这那将被把对从为以于而但因就都使让可会能着过之者はがをにのでとも")
-#: A segment of SENTENCE words at most has clause structure if this share of its words outside links are function words; longer ones are judged around each word, REACH words to either side.
-LEAST_SHARE = 0.12
-SENTENCE = 40
-REACH = 8
-#: A pair of words that stands so often between two sentence ends is a keyword's.
+#: A clause has this many words or more (two Han or kana characters count as one word), and isn't longer than a sentence can be.
+LEAST_WORDS = 4
+SENTENCE = 60
+#: A closed phrase of up to so many words can be a keyword; it is one if other phrases share this part of its characters, in strings of SHARED words or more.
+KEYWORD = 7
+SHARED = 3
+SAID_AGAIN = 0.5
+#: A string of two words or more must stand so often to count as repeated.
 AGAIN = 3
+#: Words between two marks that are taken as an item of a list; there, a single word counts as repeated.
+ITEM = 3
 #: A run without clause structure is stuffing if repeats, links and tags cover this share of its characters.
 COVERED = 0.4
+#: So is one of which words that stand in it AGAIN times, and make up this part of its words each, cover CROWDED of the characters.
+OFTEN = 0.01
+CROWDED = 0.6
 #: More than this share of the page's words.
 STUFFED = 0.5
 
 _token = re.compile(r"[^\W_]+")
 _link = re.compile(r"<a\s[^<>]*>[^<>]*(?:</a>)?|(?:https?://|www\.)[^\s<>]+|#\w+", re.IGNORECASE)
-_border = re.compile(r"[\n\r]|[.!?][\"')\]]*(?=\s+[^\W\d_a-zß-öø-ÿ]|\s+[¿¡(\"'])|[。！？]|[|★»•·/>](?=\s)|::")
-_markup = re.compile(r"<(?!a\s)[^<>]{0,200}>|&(?:#x?\w{1,6}|\w{2,8});")
-_stop = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。！？]")
-_comma = re.compile(r"[,;](?=\s)|[、，；]")
-_han = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
+_markup = re.compile(r"<(?!a\s)[^<>]*>|&(?:#x?\w{1,6}|\w{2,8});")
+_stop = re.compile(r"[.!?؟।۔][\"')\]»”]*(?=\s|$)|[。！？]")
+_list_mark = re.compile(r"[|★»•·/>](?=\s)|::")
+_line = re.compile(r"[\n\r]+\s*")
+_comma = re.compile(r"[,;:](?=\s)|[、，；：]")
 _character = re.compile(r"[぀-ヿ㐀-鿿]")
 _symbol = re.compile(r"[぀-ヿ㐀-鿿]|[^぀-ヿ㐀-鿿]+")
 
 
-def page_words(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words in lower case; the segment of each (borders: line and sentence ends, list marks outside links); whether it stands in a link or tag; whether a sentence end follows it; whether a comma or semicolon does (asked for only where a segment has more than SENTENCE words)."""
-    clean = _markup.sub(lambda m: " " * len(m.group()), text)
-    spans = [m.span() for m in _token.finditer(clean)]
-    words = [clean[a:b].lower() for a, b in spans]
-    starts = np.array([a for a, _ in spans], dtype=np.int64)
-    links = np.array([m.span() for m in _link.finditer(clean)], dtype=np.int64).reshape(-1, 2)
-    cuts = np.array([m.start() for m in _border.finditer(clean)], dtype=np.int64)
-    segment, stops = np.searchsorted(cuts[~_within(cuts, links)], starts, side="right"), _follows(_stop, clean, starts)
-    commas = _follows(_comma, clean, starts) if np.bincount(segment).max(initial=0) > SENTENCE else np.zeros(len(starts), dtype=bool)
-    return words, segment, _within(starts, links), stops, commas
-
-
-def _follows(pattern: re.Pattern, clean: str, starts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(starts), dtype=bool)
-    before = np.searchsorted(starts, np.array([m.start() for m in pattern.finditer(clean)], dtype=np.int64)) - 1
-    out[before[before >= 0]] = True
-    return out
+class Page:
+    """A page's words in lower case, where they stand, and what stands between them."""
+
+    def __init__(self, text: str) -> None:
+        clean = _markup.sub(lambda m: " " * len(m.group()), text)
+        spans = [m.span() for m in _token.finditer(clean)]
+        self.words = [clean[a:b].lower() for a, b in spans]
+        self.starts = np.array([a for a, _ in spans], dtype=np.int64)
+        links = np.array([m.span() for m in _link.finditer(clean)], dtype=np.int64).reshape(-1, 2)
+        self.in_link = _within(self.starts, links)
+        # What follows each word, outside links: a sentence end, a mark of a list, a comma, or a line end before a word that could begin a sentence.
+        self.stop = self._before(m.start() for m in _stop.finditer(clean))
+        outside = [m.start() for m in _list_mark.finditer(clean)]
+        self.mark = self._before(np.array(outside, dtype=np.int64)[~_within(np.array(outside, dtype=np.int64), links)])
+        self.comma = self._before(m.start() for m in _comma.finditer(clean))
+        self.line = self._before(m.start() for m in _line.finditer(clean))
+        # A line begins anew with a capital or a digit; where letters have no case, after a line as short as a keyword.
+        letters = [clean[a] for a, _ in spans]
+        fresh = np.fromiter((not c.islower() for c in letters), dtype=bool, count=len(spans))
+        caseless = np.fromiter((c.isalpha() and c.lower() == c.upper() for c in letters), dtype=bool, count=len(spans))
+        if caseless.any():
+            row = _numbered(self.line)
+            fresh &= ~caseless | np.concatenate([[True], (np.bincount(row, weights=_word_weights(self.words))[row] <= KEYWORD)[:-1]])
+        self.fresh_line = self.line & np.append(fresh[1:], True)
+
+    def _before(self, places) -> np.ndarray:
+        out = np.zeros(len(self.starts), dtype=bool)
+        at = np.searchsorted(self.starts, np.fromiter(places, dtype=np.int64)) - 1
+        out[at[at >= 0]] = True
+        return out
 
 
 def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -84,111 +91,33 @@ def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (k >= 0) & (at < spans[np.maximum(k, 0), 1])
 
 
-def has_clause(words: list[str], segment: np.ndarray, in_link: np.ndarray, is_open: np.ndarray) -> np.ndarray:
-    """Whether each word stands in a clause: four words or more outside links, enough of them function words, or a run of Han or kana characters in its segment that a sentence end closes or that holds a function character."""
-    n = len(words)
-    plain = ~in_link
-    function = np.fromiter((w in FUNCTION_WORDS for w in words), dtype=bool, count=n) & plain
-    han = np.zeros(n, dtype=bool)
-    if _han.search(" ".join(words)):
-        han = np.fromiter((bool(_han.search(w)) and (closed or not FUNCTION_CHARACTERS.isdisjoint(w)) for w, closed in zip(words, ~is_open)), dtype=bool, count=n) & plain
-    sums, plains, hans = (np.concatenate([[0], np.cumsum(x)]) for x in (function, plain, han))
-    index = np.arange(n)
-    begins, ends = _limits(segment)
-    long = ends - begins > SENTENCE
-    low, high = np.where(long, np.maximum(begins, index - REACH), begins), np.where(long, np.minimum(ends, index + REACH + 1), ends)
-    own = plains[high] - plains[low]
-    clause = (sums[high] - sums[low] >= LEAST_SHARE * own) & (own >= 4)
-    return clause | (hans[high] > hans[low])
-
-
-def _limits(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, where its run of equal ``group`` begins and where it ends."""
-    n = len(group)
-    index = np.arange(n)
-    new = np.ones(n + 1, dtype=bool)
-    new[1:n] = group[1:] != group[:-1]
-    return np.maximum.accumulate(np.where(new[:n], index, 0)), np.minimum.accumulate(np.where(new[1:], index + 1, n)[::-1])[::-1]
-
-
-def open_phrases(segment: np.ndarray, stops: np.ndarray, commas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The phrase of each word, and whether no sentence end closes it. A phrase is a segment up to its sentence ends; one of more than SENTENCE words is also cut at its commas."""
-    begins, ends = _limits(segment)
-    cut = np.ones(len(segment), dtype=bool)
-    cut[1:] = (segment[1:] != segment[:-1]) | (stops | commas & (ends - begins > SENTENCE))[:-1]
-    phrase = np.cumsum(cut)
-    return phrase, ~stops[_limits(phrase)[1] - 1]
-
-
-def keyword_phrases(words: list[str], plain: np.ndarray, phrase: np.ndarray, is_open: np.ndarray) -> np.ndarray:
-    """Whether each word stands in an open phrase whose characters are covered by pairs of words that stand AGAIN times or more between the same two sentence ends.
-
-    Prose has a sentence end after a sentence, also where its lines are cut, and doesn't repeat itself within one.
+def _numbered(border: np.ndarray) -> np.ndarray:
+    """The number of the part that each word is in; a part ends with a word that has a border after it."""
+    return np.cumsum(np.concatenate([[0], border[:-1]])) if len(border) else np.zeros(0, dtype=np.int64)
+
+
+def closed_phrases(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrase of each word, whether it can be a clause (closed by a sentence end, and of LEAST_WORDS to SENTENCE words outside links), and whether it then is as short as a keyword.
+
+    A phrase goes back from its end to the end before, a mark, or the beginning of a line that doesn't go on in lower case.
     """
-    symbols, of = symbols_of(words)
-    function = [w in FUNCTION_WORDS or w in FUNCTION_CHARACTERS for w in symbols]
-    run = np.cumsum(~is_open)[of]  # all open phrases between two closed ones
-    all_open, of_word = is_open, phrase
-    is_open, plain, phrase = is_open[of], plain[of], phrase[of]
-    pair = (is_open & plain)[:-1] & plain[1:] & (phrase[1:] == phrase[:-1])
-    keys = [(r, a, b) if ok and not (f and g) else None for ok, r, a, b, f, g in zip(pair.tolist(), run.tolist(), symbols, symbols[1:], function, function[1:])]
-    times = Counter(keys)
-    again = np.fromiter((k is not None and times[k] >= AGAIN for k in keys), dtype=bool, count=len(keys))
-    covered = np.zeros(len(symbols), dtype=bool)
-    covered[:-1] |= again
-    covered[1:] |= again
-    size = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols)) * plain
-    share = np.bincount(phrase, weights=size * covered) / np.maximum(1, np.bincount(phrase, weights=size))
-    return all_open & (share >= COVERED)[of_word]
-
-
-class SuffixAutomaton:
-    """Of a sequence of integers; states hold the length of their longest substring, their suffix link and how often they occur."""
-
-    def __init__(self, sequence: list[int]) -> None:
-        go: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        self.at: list[int] = []  # the state of each prefix
-        for c in sequence:
-            now = len(go)
-            go.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in go[p]:
-                go[p][c] = now
-                p = link[p]
-            if p >= 0:
-                q = go[p][c]
-                if length[q] == length[p] + 1:
-                    link[now] = q
-                else:
-                    copy = len(go)
-                    go.append(dict(go[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and go[p].get(c) == q:
-                        go[p][c] = copy
-                        p = link[p]
-                    link[q] = link[now] = copy
-            last = now
-            self.at.append(now)
-        self.link, self.length = link, length
-
-    def repeated_suffix(self) -> list[int]:
-        """For each position, the length of the longest substring ending there that also occurs elsewhere: a repeated maximal substring, cut at this end."""
-        times = [0] * len(self.link)
-        for s in self.at:
-            times[s] = 1
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            times[self.link[s]] += times[s]
-        times[0] = 0
-        out = []
-        for s in self.at:
-            while s > 0 and times[s] < 2:
-                s = self.link[s]
-            out.append(self.length[s] if s > 0 else 0)
-        return out
+    phrase = _numbered(page.stop | page.mark | page.fresh_line)
+    n = phrase[-1] + 1
+    closed = np.zeros(n, dtype=bool)
+    closed[phrase[page.stop]] = True  # a stop ends its phrase
+    size = np.bincount(phrase, weights=_word_weights(page.words) * ~page.in_link, minlength=n)
+    clause = closed & (size >= LEAST_WORDS) & (size <= SENTENCE)
+    return phrase, clause[phrase], (clause & (size <= KEYWORD))[phrase]
+
+
+def _word_weights(words: list[str]) -> np.ndarray:
+    out = np.ones(len(words))
+    if _character.search("".join(words)):
+        for i, w in enumerate(words):
+            han = len(_character.findall(w))
+            if han:
+                out[i] = han / 2 + (han < len(w))
+    return out
 
 
 def symbols_of(words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -199,40 +128,94 @@ def symbols_of(words: list[str]) -> tuple[list[str], np.ndarray]:
     return [x for p in parts for x in p], np.repeat(np.arange(len(words)), [len(p) for p in parts])
 
 
-def repeated(words: list[str]) -> np.ndarray:
-    """Whether each symbol is covered by a repeated substring of the page's; a single Han or kana character is none."""
-    codes: dict[str, int] = {}
-    longest = SuffixAutomaton([codes.setdefault(w, len(codes)) for w in words]).repeated_suffix()
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    for i, n in enumerate(longest):
-        if n > 1 or n and not _character.match(words[i]):
-            change[i - n + 1] += 1
-            change[i + 1] -= 1
+def repeated_prefix(codes: np.ndarray, times: int = 2) -> np.ndarray:
+    """For each place of a sequence of integers, the length of the longest substring beginning there that occurs ``times`` times or more.
+
+    Suffixes are sorted by doubling; neighbours in that order share the longest prefixes, which are measured from the ranks of each doubling.
+    """
+    n = len(codes)
+    if n < times:
+        return np.zeros(n, dtype=np.int64)
+    ranks = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+    while ranks[-1].max() < n - 1:
+        size = 1 << (len(ranks) - 1)
+        now = ranks[-1]
+        then = np.full(n, -1, dtype=np.int64)
+        then[: max(0, n - size)] = now[size:]
+        ranks.append(np.unique(now * (n + 1) + then, return_inverse=True)[1].astype(np.int64))
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    shared = np.zeros(n - 1, dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = np.zeros(n - 1, dtype=bool)
+        inside = np.maximum(a, b) + (1 << k) <= n
+        same[inside] = ranks[k][a[inside]] == ranks[k][b[inside]]
+        shared[same] += 1 << k
+        a, b = a + (same << k), b + (same << k)
+    common = np.lib.stride_tricks.sliding_window_view(shared, times - 1).min(axis=1)  # what ``times`` neighbours share
+    out = np.zeros(n, dtype=np.int64)
+    for k in range(times):
+        np.maximum.at(out, order[k : k + len(common)], common)
+    return out
+
+
+def covered_by(length: np.ndarray, least: int) -> np.ndarray:
+    """The places that substrings of these lengths cover, those of ``least`` or more."""
+    n = len(length)
+    change = np.zeros(n + 1, dtype=np.int64)
+    at = np.flatnonzero(length >= least)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + length[at], -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def keyword_phrases(page: Page, phrase: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Whether each word stands in a short closed phrase of which other phrases share SAID_AGAIN of the characters, in strings of SHARED words or more."""
+    symbols, of = symbols_of(page.words)
+    codes = np.unique(np.array(symbols, dtype=object), return_inverse=True)[1].astype(np.int64)
+    part = phrase[of]
+    ends = np.append(part[1:] != part[:-1], True)
+    # A border of its own after each phrase keeps substrings inside phrases.
+    width = 1 + ends.astype(np.int64)
+    place = np.cumsum(width) - width
+    sequence = -1 - np.arange(int(width.sum()), dtype=np.int64)
+    sequence[place] = codes
+    covered = covered_by(repeated_prefix(sequence), SHARED)[place]
+    size = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols))
+    n = int(phrase[-1]) + 1
+    share = np.bincount(part, weights=size * covered, minlength=n) / np.bincount(part, weights=size, minlength=n)
+    return short & (share >= SAID_AGAIN)[phrase]
+
+
 def stuffed_share(text: str | None) -> float:
     """Share of the page's words that stand in stuffing. 0 for null, and for texts without a word."""
     if not text:
         return 0.0
-    words, segment, in_link, stops, commas = page_words(text)
-    n = len(words)
+    page = Page(text)
+    n = len(page.words)
     if not n:
         return 0.0
-    phrase, is_open = open_phrases(segment, stops, commas)
-    bare = ~has_clause(words, segment, in_link, is_open)
-    if (bare | is_open).sum() <= STUFFED * n:
-        return 0.0  # a closed phrase with clause structure stays one, so the page can't pass
-    bare |= keyword_phrases(words, ~in_link, phrase, is_open)
+    phrase, clause, short = closed_phrases(page)
+    if (~clause | short).sum() <= STUFFED * n:
+        return 0.0  # only a short closed phrase can still turn out to be a keyword, so the page can't pass
+    if short.any():
+        clause = clause & ~keyword_phrases(page, phrase, short)
+    bare = ~clause
     if bare.sum() <= STUFFED * n:
         return 0.0  # stuffing lies in bare runs only, so the page can't pass
-    symbols, of = symbols_of(words)
-    covered = repeated(symbols) | in_link[of]
+    symbols, of = symbols_of(page.words)
+    codes = np.unique(np.array(symbols, dtype=object), return_inverse=True)[1].astype(np.int64)
+    item = _numbered(page.stop | page.mark | page.line | page.comma | page.in_link)
+    alone = (np.bincount(item) <= ITEM)[item][of] & ~np.fromiter(map(bool, map(_character.match, symbols)), dtype=bool, count=len(symbols))
+    covered = covered_by(repeated_prefix(codes, AGAIN), 2) | (alone & (np.bincount(codes) > 1)[codes]) | page.in_link[of]
     size = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols))
     run = np.cumsum(np.concatenate([[0], bare[1:] != bare[:-1]]))
     chars = np.bincount(run[of], weights=size)
-    share = np.bincount(run[of], weights=size * covered) / chars
-    return float((bare & (share >= COVERED)[run]).sum() / n)
+    stuffed = np.bincount(run[of], weights=size * covered) >= COVERED * chars
+    _, kind, times = np.unique(run[of] * (codes.max() + 1) + codes, return_inverse=True, return_counts=True)
+    crowd = times[kind] >= np.maximum(AGAIN, OFTEN * np.bincount(run[of])[run[of]])
+    stuffed |= np.bincount(run[of], weights=size * crowd) >= CROWDED * chars
+    return float((bare & stuffed[run]).sum() / n)
 
 
 def stuffed_pages(df: DataFrame, item: str, text: str, more_than: float = STUFFED) -> DataFrame:
