@@ -12,6 +12,7 @@ tags cover enough of its characters; a page is stuffed if more than half of its
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -41,46 +42,85 @@ CROWDED = 0.6
 #: More than this share of the page's words.
 STUFFED = 0.5
 
-_token = re.compile(r"[^\W_]+")
 _link = re.compile(r"<a\s[^<>]*>[^<>]*(?:</a>)?|(?:https?://|www\.)[^\s<>]+|#\w+", re.IGNORECASE)
 _markup = re.compile(r"<(?!a\s)[^<>]*>|&(?:#x?\w{1,6}|\w{2,8});")
-_stop = re.compile(r"[.!?؟।۔][\"')\]»”]*(?=\s|$)|[。！？]")
-_list_mark = re.compile(r"[|★»•·/>](?=\s)|::")
-_line = re.compile(r"[\n\r]+\s*")
-_comma = re.compile(r"[,;:](?=\s)|[、，；：]")
-_character = re.compile(r"[぀-ヿ㐀-鿿]")
-_symbol = re.compile(r"[぀-ヿ㐀-鿿]|[^぀-ヿ㐀-鿿]+")
+_character = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_symbol = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\u3040-\u30ff\u3400-\u9fff]+")
+
+
+#: Bits of a code point's kind.
+WORD, LOWER, CASELESS, SPACE, HAN, STOP, FULL_STOP, CLOSING, COMMA, FULL_COMMA, COLON, MARK, LINE = (1 << i for i in range(13))
+#: Code points from here on stand in no word.
+BEYOND = 0x32000
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kinds of each code point: in words (letters and digits), without case, a sentence end before a blank or anywhere, and so on."""
+    kinds = np.zeros(BEYOND + 1, dtype=np.uint16)
+    for c in map(chr, range(BEYOND)):
+        if c.isalnum():
+            kinds[ord(c)] = WORD | LOWER * c.islower() | CASELESS * (c.isalpha() and c.lower() == c.upper())
+        elif c.isspace():
+            kinds[ord(c)] = SPACE
+    for bit, chars in ((STOP, ".!?؟।۔"), (FULL_STOP, "。！？"), (CLOSING, "\"')]»”"), (COMMA, ",;:"), (FULL_COMMA, "、，；："), (COLON, ":"), (MARK, "|★»•·/>"), (LINE, "\n\r")):
+        kinds[[ord(c) for c in chars]] |= bit
+    kinds[0x3040:0x3100] |= HAN
+    kinds[0x3400:0xA000] |= HAN
+    return kinds
 
 
 class Page:
-    """A page's words in lower case, where they stand, and what stands between them."""
+    """Where a page's words stand, and what stands between them."""
 
     def __init__(self, text: str) -> None:
-        clean = _markup.sub(lambda m: " " * len(m.group()), text)
-        spans = [m.span() for m in _token.finditer(clean)]
-        self.words = [clean[a:b].lower() for a, b in spans]
-        self.starts = np.array([a for a, _ in spans], dtype=np.int64)
-        links = np.array([m.span() for m in _link.finditer(clean)], dtype=np.int64).reshape(-1, 2)
+        self.clean = clean = _markup.sub(lambda m: " " * len(m.group()), text) if "<" in text or "&" in text else text
+        points = np.minimum(np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), BEYOND)
+        kind = np.append(_kinds()[points], np.uint16(SPACE))  # a text ends like a line
+        inside = kind[:-1] & WORD > 0
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.weight = np.ones(len(self.starts))
+        han = kind[:-1] & HAN > 0
+        if han.any():
+            count = np.concatenate([[0], np.cumsum(han)])
+            own = count[self.ends] - count[self.starts]
+            self.weight = np.where(own > 0, own / 2 + (own < self.ends - self.starts), 1.0)
+        low = clean.lower()
+        linked = "#" in low or "://" in low or "www." in low or "<a" in low
+        links = np.array([m.span() for m in _link.finditer(clean)] if linked else [], dtype=np.int64).reshape(-1, 2)
         self.in_link = _within(self.starts, links)
-        # What follows each word, outside links: a sentence end, a mark of a list, a comma, or a line end before a word that could begin a sentence.
-        self.stop = self._before(m.start() for m in _stop.finditer(clean))
-        outside = [m.start() for m in _list_mark.finditer(clean)]
-        self.mark = self._before(np.array(outside, dtype=np.int64)[~_within(np.array(outside, dtype=np.int64), links)])
-        self.comma = self._before(m.start() for m in _comma.finditer(clean))
-        self.line = self._before(m.start() for m in _line.finditer(clean))
+        # What follows each word: a sentence end (closing marks may follow that), a mark of a list outside links, a comma, a line end.
+        blank = np.append(kind[1:] & SPACE > 0, True)
+        at = np.flatnonzero(kind & STOP)
+        after = at + 1
+        while len(more := np.flatnonzero(kind[after] & CLOSING)):
+            after[more] += 1
+        self.stop = self._before(np.concatenate([at[kind[after] & SPACE > 0], np.flatnonzero(kind & FULL_STOP)]))
+        self.comma = self._before(np.flatnonzero((kind & COMMA > 0) & blank | (kind & FULL_COMMA > 0)))
+        self.line = self._before(np.flatnonzero(kind & LINE))
+        marks = np.flatnonzero((kind & MARK > 0) & blank | (kind & COLON > 0) & np.append(kind[1:] & COLON > 0, False))
+        self.mark = self._before(marks[~_within(marks, links)])
         # A line begins anew with a capital or a digit; where letters have no case, after a line as short as a keyword.
-        letters = [clean[a] for a, _ in spans]
-        fresh = np.fromiter((not c.islower() for c in letters), dtype=bool, count=len(spans))
-        caseless = np.fromiter((c.isalpha() and c.lower() == c.upper() for c in letters), dtype=bool, count=len(spans))
-        if caseless.any():
-            row = _numbered(self.line)
-            fresh &= ~caseless | np.concatenate([[True], (np.bincount(row, weights=_word_weights(self.words))[row] <= KEYWORD)[:-1]])
-        self.fresh_line = self.line & np.append(fresh[1:], True)
+        self.fresh_line = self.line.copy()
+        at = np.flatnonzero(self.line[:-1])
+        if len(at):
+            first = kind[self.starts[at + 1]]
+            fresh, no_case = first & LOWER == 0, first & CASELESS > 0
+            if no_case.any():
+                row = _numbered(self.line)
+                fresh &= ~no_case | (np.bincount(row, weights=self.weight)[row[at]] <= KEYWORD)
+            self.fresh_line[at] = fresh
+
+    @functools.cached_property
+    def words(self) -> list[str]:
+        return [self.clean[a:b].lower() for a, b in zip(self.starts.tolist(), self.ends.tolist())]
 
     def _before(self, places) -> np.ndarray:
         out = np.zeros(len(self.starts), dtype=bool)
-        at = np.searchsorted(self.starts, np.fromiter(places, dtype=np.int64)) - 1
-        out[at[at >= 0]] = True
+        if len(places):
+            at = np.searchsorted(self.starts, places) - 1
+            out[at[at >= 0]] = True
         return out
 
 
@@ -105,21 +145,11 @@ def closed_phrases(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = phrase[-1] + 1
     closed = np.zeros(n, dtype=bool)
     closed[phrase[page.stop]] = True  # a stop ends its phrase
-    size = np.bincount(phrase, weights=_word_weights(page.words) * ~page.in_link, minlength=n)
+    size = np.bincount(phrase, weights=page.weight * ~page.in_link, minlength=n)
     clause = closed & (size >= LEAST_WORDS) & (size <= SENTENCE)
     return phrase, clause[phrase], (clause & (size <= KEYWORD))[phrase]
 
 
-def _word_weights(words: list[str]) -> np.ndarray:
-    out = np.ones(len(words))
-    if _character.search("".join(words)):
-        for i, w in enumerate(words):
-            han = len(_character.findall(w))
-            if han:
-                out[i] = han / 2 + (han < len(w))
-    return out
-
-
 def symbols_of(words: list[str]) -> tuple[list[str], np.ndarray]:
     """What is compared for repetition, and the word of each: the words, those with Han or kana by character, as no space parts them."""
     if not _character.search("".join(words)):
@@ -192,7 +222,7 @@ def stuffed_share(text: str | None) -> float:
     if not text:
         return 0.0
     page = Page(text)
-    n = len(page.words)
+    n = len(page.starts)
     if not n:
         return 0.0
     phrase, clause, short = closed_phrases(page)

@@ -656,14 +656,53 @@ def test_cut_lines_of_prose_are_no_keywords(width):
     assert stuffing.stuffed_share(textwrap.fill((SENTENCE * 40).lower(), width)) == 0.0
 
 
-def test_automaton_against_brute_force():
+def test_suffix_array_against_brute_force():
     rng = random.Random(11)
-    for _ in range(60):
-        s = [rng.randrange(3) for _ in range(rng.randrange(0, 14))]
-        got = stuffing.SuffixAutomaton(s).repeated_suffix()
-        for e in range(len(s)):
-            fits = [n for n in range(1, e + 2) if sum(s[k : k + n] == s[e + 1 - n : e + 1] for k in range(len(s) - n + 1)) > 1]
-            assert got[e] == max(fits, default=0)
+    for _ in range(150):
+        s = [rng.randrange(rng.choice([1, 3, 30])) for _ in range(rng.randrange(0, 24))]
+        for times in (2, 3):
+            got = stuffing.repeated_prefix(np.array(s, dtype=np.int64), times)
+            for at in range(len(s)):
+                fits = [n for n in range(1, len(s) - at + 1) if sum(s[k : k + n] == s[at : at + n] for k in range(len(s) - n + 1)) >= times]
+                assert got[at] == max(fits, default=0)
+
+
+def test_covered_places():
+    assert stuffing.covered_by(np.array([0, 3, 2, 1, 0, 1]), 2).tolist() == [False, True, True, True, False, False]
+    assert stuffing.covered_by(np.zeros(0, dtype=np.int64), 2).tolist() == []
+
+
+# Short vocabularies of languages that the test tables don't hold, to shuffle into sentences.
+ELSEWHERE = {
+    "pl": "nie jest to w na się że do z o jak ale po co tak za od czy już tylko przez pacjent leczenie badanie wynik grupa choroba lek dawka ryzyko objaw lekarz szpital krew serce wiek rok miesiąc dzień przed może",
+    "ru": "и в не на я что он с как это по но они к у из мы за вы от так о же пациент лечение исследование результат группа болезнь препарат доза риск симптом врач больница кровь сердце возраст год месяц день",
+    "it": "il di che non è la per un in sono mi ho lo con si ma una gli da al paziente trattamento studio risultato gruppo malattia farmaco dose rischio sintomo medico ospedale sangue cuore età anno mese giorno prima può",
+    "hi": "है के में की से को का और यह पर भी एक हैं नहीं था कि इस लिए रोगी उपचार अध्ययन परिणाम समूह रोग दवा खुराक जोखिम लक्षण चिकित्सक अस्पताल रक्त हृदय आयु वर्ष माह दिन",
+}
+
+
+@pytest.mark.parametrize("language", ELSEWHERE)
+@pytest.mark.parametrize("skewed", [False, True])
+def test_pages_in_other_languages_are_no_stuffing(language, skewed):
+    words = ELSEWHERE[language].split()
+    weights = [1 / (i + 1) if skewed else 1 for i in range(len(words))]
+    end = "।" if language == "hi" else "."
+    flagged = 0
+    for k in range(100):
+        rng = random.Random(k)
+        page = " ".join(" ".join(rng.choices(words, weights, k=rng.randrange(6, 16))).capitalize() + end for _ in range(40))
+        flagged += stuffing.stuffed_share(page) > 0.5 or stuffing.stuffed_share(textwrap.fill(page, 70)) > 0.5
+    assert flagged == 0
+    keywords = [f"{a} {b}" for a in words[-4:] for b in words[-9:-5]]
+    assert stuffing.stuffed_share(" | ".join(keywords * 3)) > 0.9 and stuffing.stuffed_share("\n".join(keywords * 3)) > 0.9
+
+
+def test_long_pages_and_marks():
+    assert stuffing.stuffed_share("<" + "x " * 300 + "> " + SENTENCE * 3) == 0.0  # a tag of any length is markup
+    assert stuffing.stuffed_share(SENTENCE * 4 + "\ud800 lone \U000e0041") == 0.0
+    rng = random.Random(20)
+    names = [f"drug{i}" for i in range(9)]
+    assert stuffing.stuffed_share(" ".join(rng.choices(names, k=50_000))) == 1.0  # shuffled, without a mark
 
 
 def test_stuffed_pages(spark):
