@@ -70,11 +70,19 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-class Page:
-    """Where a page's words stand, and what stands between them."""
-
-    def __init__(self, text: str) -> None:
-        self.clean = clean = _markup.sub(lambda m: " " * len(m.group()), text) if "<" in text or "&" in text else text
+class Pages:
+    """Where the words of some pages stand, one page after the other, and what stands between them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        parts, spans, at = [], [], 0
+        for text in texts:
+            own = _markup.sub(lambda m: " " * len(m.group()), text) if "<" in text or "&" in text else text
+            low = own.lower()
+            if "#" in low or "://" in low or "www." in low or "<a" in low:
+                spans += [(at + m.start(), at + m.end()) for m in _link.finditer(own)]
+            parts.append(own)
+            at += len(own) + 1
+        self.clean = clean = "\n".join(parts)
         points = np.minimum(np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), BEYOND)
         kind = np.append(_kinds()[points], np.uint16(SPACE))  # a text ends like a line
         inside = kind[:-1] & WORD > 0
@@ -86,9 +94,10 @@ class Page:
             count = np.concatenate([[0], np.cumsum(han)])
             own = count[self.ends] - count[self.starts]
             self.weight = np.where(own > 0, own / 2 + (own < self.ends - self.starts), 1.0)
-        low = clean.lower()
-        linked = "#" in low or "://" in low or "www." in low or "<a" in low
-        links = np.array([m.span() for m in _link.finditer(clean)] if linked else [], dtype=np.int64).reshape(-1, 2)
+        self.begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])[:-1]])
+        self.page = np.searchsorted(self.begins, self.starts, side="right") - 1
+        self.last = np.append(self.page[1:] != self.page[:-1], True)[: len(self.page)]
+        links = np.array(spans, dtype=np.int64).reshape(-1, 2)
         self.in_link = _within(self.starts, links)
         # What follows each word: a sentence end (closing marks may follow that), a mark of a list outside links, a comma, a line end.
         blank = np.append(kind[1:] & SPACE > 0, True)
@@ -116,11 +125,14 @@ class Page:
     def words(self) -> list[str]:
         return [self.clean[a:b].lower() for a, b in zip(self.starts.tolist(), self.ends.tolist())]
 
-    def _before(self, places) -> np.ndarray:
+    def _before(self, places: np.ndarray) -> np.ndarray:
+        """Whether one of these places comes after each word, before the next one of its page."""
         out = np.zeros(len(self.starts), dtype=bool)
         if len(places):
             at = np.searchsorted(self.starts, places) - 1
-            out[at[at >= 0]] = True
+            own = at >= 0
+            own[own] = self.page[at[own]] == np.searchsorted(self.begins, places[own], side="right") - 1
+            out[at[own]] = True
         return out
 
 
@@ -136,12 +148,12 @@ def _numbered(border: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], border[:-1]])) if len(border) else np.zeros(0, dtype=np.int64)
 
 
-def closed_phrases(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def closed_phrases(page: Pages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The phrase of each word, whether it can be a clause (closed by a sentence end, and of LEAST_WORDS to SENTENCE words outside links), and whether it then is as short as a keyword.
 
     A phrase goes back from its end to the end before, a mark, or the beginning of a line that doesn't go on in lower case.
     """
-    phrase = _numbered(page.stop | page.mark | page.fresh_line)
+    phrase = _numbered(page.stop | page.mark | page.fresh_line | page.last)
     n = phrase[-1] + 1
     closed = np.zeros(n, dtype=bool)
     closed[phrase[page.stop]] = True  # a stop ends its phrase
@@ -199,7 +211,7 @@ def covered_by(length: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def keyword_phrases(page: Page, phrase: np.ndarray, short: np.ndarray) -> np.ndarray:
+def keyword_phrases(page: Pages, phrase: np.ndarray, short: np.ndarray) -> np.ndarray:
     """Whether each word stands in a short closed phrase of which other phrases share SAID_AGAIN of the characters, in strings of SHARED words or more."""
     symbols, of = symbols_of(page.words)
     codes = np.unique(np.array(symbols, dtype=object), return_inverse=True)[1].astype(np.int64)
@@ -217,17 +229,43 @@ def keyword_phrases(page: Page, phrase: np.ndarray, short: np.ndarray) -> np.nda
     return short & (share >= SAID_AGAIN)[phrase]
 
 
+#: Characters of pages that are looked at together.
+TOGETHER = 1 << 19
+
+
+def stuffed_shares(texts: list[str | None]) -> list[float]:
+    """For each page, the share of its words that stand in stuffing. 0 for null, and for texts without a word."""
+    out = [0.0] * len(texts)
+    some: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t:
+            some.append(i)
+            size += len(t)
+        if some and (size >= TOGETHER or i == len(texts) - 1):
+            for k in _possible([texts[j] for j in some]):
+                out[some[k]] = stuffed_share(texts[some[k]])
+            some, size = [], 0
+    return out
+
+
+def _possible(texts: list[str]) -> list[int]:
+    """The pages that can have more than STUFFED of their words in stuffing: that has to lie outside clauses, and only a short closed phrase can turn out to be none."""
+    pages = Pages(texts)
+    if not len(pages.starts):
+        return []
+    _, clause, short = closed_phrases(pages)
+    outside = np.bincount(pages.page, weights=~clause | short, minlength=len(texts))
+    return np.flatnonzero(outside > STUFFED * np.bincount(pages.page, minlength=len(texts))).tolist()
+
+
 def stuffed_share(text: str | None) -> float:
-    """Share of the page's words that stand in stuffing. 0 for null, and for texts without a word."""
-    if not text:
+    """The share of one page; see ``stuffed_shares``."""
+    if not text or not _possible([text]):
         return 0.0
-    page = Page(text)
+    page = Pages([text])
     n = len(page.starts)
-    if not n:
-        return 0.0
     phrase, clause, short = closed_phrases(page)
-    if (~clause | short).sum() <= STUFFED * n:
-        return 0.0  # only a short closed phrase can still turn out to be a keyword, so the page can't pass
     if short.any():
         clause = clause & ~keyword_phrases(page, phrase, short)
     bare = ~clause
@@ -258,7 +296,7 @@ def stuffed_pages(df: DataFrame, item: str, text: str, more_than: float = STUFFE
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [stuffed_share(t) > more_than for t in batch.column(1).to_pylist()]
+            keep = [share > more_than for share in stuffed_shares(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=[item])
 
     return spread(df.where(F.col(item).isNotNull() & (F.col(text) != "")).select(F.col(item), F.col(text).alias("__text"))).mapInArrow(judge, f"`{item}` {kind}")

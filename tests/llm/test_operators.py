@@ -501,6 +501,18 @@ def test_one_changed_word_is_a_near_copy(spark):
     assert leakage.leaked_items(spark.createDataFrame([(1, " ".join(edited))], "d long, t string"), "d", "t", items, "i", "t").count() == 0
 
 
+def test_majorities_against_brute_force():
+    rng = np.random.default_rng(21)
+    bits = rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 90, dtype=np.uint64)
+    each = np.array([[int(b) >> k & 1 for k in range(64)] for b in bits])
+    sums = leakage.BitSums(bits)
+    for size in (1, 2, 3, 7, 8, 12, 33, 49, 64, 89, 90, 91):
+        want = [sum(1 << k for k in range(64) if 2 * each[p : p + size, k].sum() > size) for p in range(90 - size + 1)]
+        assert sums.majority(size).tolist() == want
+        if len(want) > 3:
+            assert sums.majority(size, np.array([2, 0, 3])).tolist() == [want[2], want[0], want[3]]
+
+
 def changed(rng, words, share, vocabulary):
     out = list(words)
     for k in rng.sample(range(len(out)), round(share * len(out))):
@@ -697,6 +709,15 @@ def test_pages_in_other_languages_are_no_stuffing(language, skewed):
     assert stuffing.stuffed_share(" | ".join(keywords * 3)) > 0.9 and stuffing.stuffed_share("\n".join(keywords * 3)) > 0.9
 
 
+def test_pages_together_are_judged_as_alone(spark, sf_dir, monkeypatch):
+    texts = [r.text for r in load(spark, sf_dir.replace("0.001", "0.01"), "documents").collect()] + [None, "", "<a href", "> x", SPAM, "<b " + SPAM, "?!", SENTENCE]
+    alone = [stuffing.stuffed_share(t) for t in texts]
+    for together in (1, 3000, stuffing.TOGETHER):
+        monkeypatch.setattr(stuffing, "TOGETHER", together)
+        assert stuffing.stuffed_shares(texts) == alone
+    assert sum(s > 0.5 for s in alone) > 20
+
+
 def test_long_pages_and_marks():
     assert stuffing.stuffed_share("<" + "x " * 300 + "> " + SENTENCE * 3) == 0.0  # a tag of any length is markup
     assert stuffing.stuffed_share(SENTENCE * 4 + "\ud800 lone \U000e0041") == 0.0
