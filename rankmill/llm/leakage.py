@@ -40,18 +40,69 @@ def words_of(text: str | None) -> list[str]:
     return _word.findall(text.lower()) if text else []
 
 
-def word_bits(word: str) -> np.ndarray:
-    """A word's 64 votes, +1 or -1."""
-    return np.unpackbits(np.frombuffer(xxhash.xxh64_digest(word), dtype=np.uint8)).astype(np.int16) * 2 - 1
-
-
-def fingerprints(bits: np.ndarray, size: int, kind: type = np.int16) -> np.ndarray:
-    """SimHash of each run of ``size`` rows of ``bits`` (words x 64 votes); ``kind`` must hold ``size``."""
-    if len(bits) < size:
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros((len(bits) + 1, 64), dtype=kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])  # differences are right modulo the type's range
-    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1).view(np.uint64).ravel()
+def word_bits(word: str) -> int:
+    """A word's 64 votes, a bit each."""
+    return xxhash.xxh64_intdigest(word)
+
+
+class BitSums:
+    """Of a sequence of 64-bit numbers: for runs of them, in how many each bit is set. Counts lie in bit planes, so that an operation on 64-bit numbers counts for all bits at once."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.levels = [[bits]]  # planes, lowest first, of the counts over 2 ** k numbers from each place on
+
+    def _level(self, k: int) -> list[np.ndarray]:
+        while len(self.levels) <= k:
+            step = 1 << len(self.levels) - 1
+            self.levels.append(_added([p[:-step] for p in self.levels[-1]], [p[step:] for p in self.levels[-1]]))
+        return self.levels[k]
+
+    def majority(self, size: int, starts: np.ndarray | None = None) -> np.ndarray:
+        """The bits that are set in more than half of the ``size`` numbers from each place on, or from each of ``starts``."""
+        n = len(self.levels[0][0]) - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        total, at = None, 0
+        for k in range(size.bit_length() - 1, -1, -1):
+            if size >> k & 1:
+                own = [p[at : at + n] if starts is None else p[starts + at] for p in self._level(k)]
+                total = own if total is None else _added(total, own)
+                at += 1 << k
+        return _at_least(total, size // 2 + 1)
+
+
+def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The sum of two counts in planes."""
+    if len(a) < len(b):
+        a, b = b, a
+    out, carry = [], None
+    for i, x in enumerate(a):
+        y = b[i] if i < len(b) else None
+        if y is None and carry is None:
+            out.append(x)
+        elif y is None or carry is None:
+            z = carry if y is None else y
+            out.append(x ^ z)
+            carry = x & z
+        else:
+            both = x ^ y
+            out.append(both ^ carry)
+            carry = x & y | both & carry
+    return out if carry is None else [*out, carry]
+
+
+def _at_least(planes: list[np.ndarray], least: int) -> np.ndarray:
+    if least >> len(planes):
+        return np.zeros_like(planes[0])
+    out = np.full_like(planes[0], ~np.uint64(0))
+    for i, p in enumerate(planes):
+        out = p & out if least >> i & 1 else p | out
+    return out
+
+
+def fingerprints(bits: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of each run of ``size`` words, given their bits: what most of them vote for."""
+    return BitSums(bits).majority(size)
 
 
 def shingle_similarity(a: list[str], b: list[str], size: int = SHINGLE) -> float:
@@ -74,7 +125,7 @@ class WindowIndex:
                 ids, windows, prints = by.setdefault(size, ([], [], []))
                 ids += [item] * (len(words) - size + 1)
                 windows += [words[i : i + size] for i in range(len(words) - size + 1)]
-                prints.append(fingerprints(np.array([word_bits(w) for w in words]), size))
+                prints.append(fingerprints(np.array([word_bits(w) for w in words], dtype=np.uint64), size))
         for size, (ids, windows, prints) in by.items():
             fp = np.concatenate(prints)
             index = []
@@ -102,45 +153,37 @@ class WindowIndex:
 
 
 class Votes:
-    """The 64 votes of each distinct word met so far; starts anew beyond MAX_WORDS."""
+    """The votes of each distinct word met so far; starts anew beyond MAX_WORDS."""
 
     MAX_WORDS = 200_000
 
     def __init__(self) -> None:
-        self.code: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, 64), dtype=np.int8)
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        if len(self.code) > self.MAX_WORDS:
-            self.code.clear()
-        out = []
-        for w in words:
-            c = self.code.get(w)
-            if c is None:
-                c = self.code[w] = len(self.code)
-                if c >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[c] = word_bits(w)
-            out.append(c)
-        return np.array(out, dtype=np.int64)
+        self.bits: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.bits) > self.MAX_WORDS:
+            self.bits.clear()
+        for w in {*words}.difference(self.bits):
+            self.bits[w] = word_bits(w)
+        return np.fromiter(map(self.bits.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def leaks_in(texts: list[str | None], index: WindowIndex, votes: Votes, similarity: float, radius: int) -> list[tuple[int, int]]:
     """(position of text, item) for each item of which the text holds a window that is at least ``similarity`` alike; 1.0: the same words."""
     words: list[str] = []
-    doc: list[np.ndarray] = []
-    for i, t in enumerate(texts):
+    lengths = []
+    for t in texts:
         own = words_of(t)
-        doc.append(np.full(len(own), i, dtype=np.int32))
+        lengths.append(len(own))
         words += own
-    if not words:
+    if not words or not index.sizes:
         return []
-    doc_of, code, table = np.concatenate(doc), votes.codes(words), votes.table
+    doc_of, bits, longest = np.repeat(np.arange(len(texts)), lengths), votes.of(words), max(index.sizes)
     found: set[tuple[int, int]] = set()
-    for size, (ids, windows, _, _) in index.sizes.items():
-        for at in range(0, len(code), STEP):
-            part = code[at : at + STEP + size - 1]
-            fp = fingerprints(table[part], size)
+    for at in range(0, len(bits), STEP):
+        sums = BitSums(bits[at : at + STEP + longest - 1])
+        for size, (ids, windows, _, _) in index.sizes.items():
+            fp = sums.majority(size)[:STEP]
             if not len(fp):
                 continue
             inside = np.flatnonzero(doc_of[at : at + len(fp)] == doc_of[at + size - 1 : at + size - 1 + len(fp)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.leakage import BLOCKS, SHINGLE, Votes, fingerprints, shingle_similarity, word_bits, words_of
+from rankmill.llm.leakage import BLOCKS, SHINGLE, BitSums, Votes, fingerprints, shingle_similarity, word_bits, words_of
 from rankmill.operators.storage import spread
 
 #: Entries of the index that is broadcast at once (four bytes each, for each of four blocks).
@@ -67,7 +67,7 @@ class ItemIndex:
         prints = np.zeros(len(own), dtype=np.uint64)
         for k, w in enumerate(self.words):
             self.holds[k, [self.code[x] for x in w]] = True
-            prints[k] = fingerprints(np.array([word_bits(x) for x in w]), len(w), np.int32)[0]
+            prints[k] = fingerprints(np.array([word_bits(x) for x in w], dtype=np.uint64), len(w))[0]
         self.prints = prints
         #: Words that an item and a window must share to be similar enough.
         self.shared = np.ceil(np.maximum(1, self.length - shingle + 1) * 2 * similarity / (1 + similarity) - 1e-9)
@@ -114,20 +114,17 @@ class ItemIndex:
         begin = np.concatenate([[0], end[:-1]])
         get, none = self.code.get, len(self.code)
         known = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
-        code = votes.codes(words)
+        bits = votes.of(words)
         out: set[tuple[int, int]] = set()
         longest = max(self.sizes)
-        kind = np.int16 if longest < 1 << 15 else np.int32
         for chunk in range(0, len(words), CHUNK):
-            part = votes.table[code[chunk : chunk + CHUNK + longest]]
-            sums = np.zeros((len(part) + 1, 64), dtype=kind)
-            np.cumsum(part, axis=0, dtype=kind, out=sums[1:])  # differences are right modulo the type's range
+            sums = BitSums(bits[chunk : chunk + CHUNK + longest])
             for size in self.sizes:
                 stride = max(1, size // STRIDE)
                 starts = window_starts(begin, end, size, stride, chunk, min(chunk + CHUNK, len(words)))
                 if not len(starts):
                     continue
-                prints = np.packbits(sums[starts - chunk + size] - sums[starts - chunk] > 0, axis=1).view(np.uint64).ravel()
+                prints = sums.majority(size, starts - chunk)
                 left, item = self.candidates(size, prints)
                 for k in range(0, len(left), COMPARED):
                     self._verify(words, known, begin, end, starts[left[k : k + COMPARED]], item[k : k + COMPARED], size, stride, out)
