@@ -74,6 +74,8 @@ def score_pool(runs: DataFrame, reranked: DataFrame, stages: Sequence[str] = ("b
     first = runs.where(F.col("stage").isin(*stages) & valid(F.col("score")) & F.col("query_id").isNotNull() & F.col("doc_id").isNotNull())
     second = reranked.where(valid(F.col("score")) & F.col("query_id").isNotNull() & F.col("doc_id").isNotNull())
     again = second.groupBy("query_id", "doc_id").agg(F.max("score").alias("rerank"))
+    # The reranked pairs are far fewer: others leave before they are aggregated.
+    first = first.select("query_id", "doc_id", "stage", "score").join(again.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     own = [F.max(F.when(F.col("stage") == s, F.col("score"))).alias(s) for s in stages]
     wide = first.groupBy("query_id", "doc_id").agg(*own)
     for s in stages:
