@@ -157,6 +157,19 @@ SELECT query_id, doc_id FROM won JOIN sizes USING (query_id) WHERE m >= 2 AND n
 WITH {_POOL}, ranked AS (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY b DESC) AS rb,
   rank() OVER (PARTITION BY query_id ORDER BY d DESC) AS rd, rank() OVER (PARTITION BY query_id ORDER BY r DESC) AS rr FROM pool)
 SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rb) + 1.0::DOUBLE / (60 + rd) + 1.0::DOUBLE / (60 + rr), 9) AS rrf FROM ranked""",
+        "p5_found": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(text_raw, '[^ \t\n]+') AS ts FROM corpus WHERE text_raw IS NOT NULL AND doc_id IS NOT NULL),
+o AS (SELECT doc_id, len(ts) AS n, list_filter(range(1, len(ts)), lambda i: regexp_matches(ts[i], '[.!?][)\]"'']*$') AND regexp_matches(ts[i + 1], '^[A-Z]')) AS ends FROM t WHERE len(ts) > 512),
+p AS (SELECT doc_id, n, ends, 1 AS piece_no, 1::BIGINT AS first_token, coalesce(list_max(list_filter(ends, lambda e: e BETWEEN 51 AND 512)), 512)::BIGINT AS last_token FROM o
+  UNION ALL SELECT doc_id, n, ends, piece_no + 1, last_token - 49, CASE WHEN n - (last_token - 49) + 1 <= 512 THEN n ELSE coalesce(list_max(list_filter(ends, lambda e: e BETWEEN last_token - 49 + 50 AND last_token - 49 + 511)), last_token - 49 + 511) END FROM p WHERE last_token < n)
+SELECT doc_id, piece_no, CAST(first_token AS INTEGER) AS first_token, CAST(last_token AS INTEGER) AS last_token FROM p""",
+        "p8_found": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+w AS (SELECT DISTINCT item_id, size, array_to_string(ws[k : k + size - 1], ' ') AS passage FROM (SELECT item_id, ws, least(12, len(ws)) AS size, unnest(range(1, len(ws) - least(12, len(ws)) + 2)) AS k FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+s AS (SELECT DISTINCT size FROM w),
+h AS (SELECT doc_id, size, array_to_string(ws[k : k + size - 1], ' ') AS passage FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM d JOIN s ON len(ws) >= size))
+SELECT DISTINCT doc_id, item_id FROM h JOIN w USING (size, passage)""",
         "p6_found": r"""
 WITH k AS (SELECT doc_id, lower(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N}]+', '', 'g')) AS t, lower(regexp_replace(text_norm, '[^\p{L}\p{N}]+', '', 'g')) AS x FROM corpus),
 r AS (SELECT doc_id, t, CASE WHEN starts_with(x, t) THEN substr(x, length(t) + 1) WHEN ends_with(x, t) THEN substr(x, 1, length(x) - length(t)) ELSE x END AS rest FROM k WHERE x <> ''),
