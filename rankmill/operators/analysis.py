@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions import text as X
-from rankmill.operators.metrics import evaluate, paired
+from rankmill.operators.metrics import evaluate_pair
 
 
 def rank_deltas(stage1: DataFrame, stage2: DataFrame, qrels: DataFrame, queries: DataFrame, corpus: DataFrame, long_over: int = 512) -> DataFrame:
@@ -24,7 +24,7 @@ def rank_deltas(stage1: DataFrame, stage2: DataFrame, qrels: DataFrame, queries:
 
 def ndcg_deltas(stage1: DataFrame, stage2: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
     """query_id, both nDCG values and ndcg_delta, of queries with a positive judgment that both runs have."""
-    return paired(evaluate(stage1, qrels, k), evaluate(stage2, qrels, k)).select("query_id", F.col("stage1").alias("ndcg_stage1"), F.col("stage2").alias("ndcg_ce"), F.col("delta").alias("ndcg_delta"))
+    return evaluate_pair(stage1, stage2, qrels, k).select("query_id", F.col("stage1").alias("ndcg_stage1"), F.col("stage2").alias("ndcg_ce"), F.col("delta").alias("ndcg_delta"))
 
 
 def select_cases(deltas: DataFrame, ndcg: DataFrame, queries: DataFrame, digits: int = 9) -> DataFrame:

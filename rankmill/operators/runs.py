@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 from rankmill.operators.skew import rank_in_groups
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+def rank_rows(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank", by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The first ``k`` rows of each query, numbered from 1. The window's group limit cuts each partition to k rows a query before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def run_of_stage(runs: DataFrame, stage: str, depth: int | None = None) -> DataFrame:
-    """A clean run out of logged results: each document once, at its best valid score; ranked by score, logged rank, id.
+def runs_of_stages(runs: DataFrame, stages: Sequence[str], depth: int | None = None) -> DataFrame:
+    """stage, query_id, doc_id, rank and score of clean runs out of logged results, in one pass: each document once, at its best valid score; ranked by score, logged rank, id.
 
     The whole ranking of each query, of any length (``rank_in_groups``), or with ``depth`` its first places only.
     """
-    valid = runs.where((F.col("stage") == stage) & F.col("query_id").isNotNull() & F.col("doc_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
-    once = valid.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min("rank").alias("logged"))
+    valid = runs.where(F.col("stage").isin(*stages) & F.col("query_id").isNotNull() & F.col("doc_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    once = valid.groupBy("stage", "query_id", "doc_id").agg(F.max("score").alias("score"), F.min("rank").alias("logged"))
     if depth is None:
-        ranked = rank_in_groups(once, ["query_id"], "score", then=["logged", "doc_id"])
-        return ranked.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), "score")
-    return rank_rows(once, [F.desc("score"), F.asc_nulls_last("logged"), F.asc("doc_id")], depth).select("query_id", "doc_id", "rank", "score")
+        ranked = rank_in_groups(once, ["stage", "query_id"], "score", then=["logged", "doc_id"])
+    else:
+        ranked = rank_rows(once, [F.desc("score"), F.asc_nulls_last("logged"), F.asc("doc_id")], depth, by=["stage", "query_id"])
+    return ranked.select("stage", "query_id", "doc_id", F.col("rank").cast("int").alias("rank"), "score")
+
+
+def run_of_stage(runs: DataFrame, stage: str, depth: int | None = None) -> DataFrame:
+    """query_id, doc_id, rank and score of one stage; see ``runs_of_stages``."""
+    return runs_of_stages(runs, [stage], depth).drop("stage")
 
 
 def reciprocal_rank_fusion(runs: Sequence[DataFrame], k: int = 60, top_k: int = 20, digits: int = 12) -> DataFrame:

@@ -60,8 +60,7 @@ def _deltas(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     one, two = _both(spark, d)
-    q = _qrels(spark, d)
-    return metrics.paired(metrics.evaluate(one, q), metrics.evaluate(two, q))
+    return metrics.evaluate_pair(one, two, _qrels(spark, d))
 
 
 # --- preparation
@@ -232,12 +231,12 @@ def metrics_mrr_cut(spark, d):
     return metrics.evaluate(_stage(spark, d, "bm25"), _qrels(spark, d), mrr_at=5).select("query_id", F.round("mrr", 9).alias("mrr"))
 
 
+STAGES = ("bm25", "dense", "hybrid")
+
+
 def metrics_aggregate(spark, d):
-    out = None
-    for stage in ("bm25", "dense", "hybrid"):
-        row = metrics.aggregate(metrics.evaluate(_stage(spark, d, stage), _qrels(spark, d))).withColumn("method", F.lit(stage))
-        out = row if out is None else out.unionByName(row)
-    return _rounded(out, (*_METRICS, "precision_pct_of_ceiling"))
+    each = metrics.evaluate(runs.runs_of_stages(load(spark, d, "runs"), STAGES), _qrels(spark, d), method="stage")
+    return _rounded(metrics.aggregate(each, "stage").withColumnRenamed("stage", "method"), (*_METRICS, "precision_pct_of_ceiling"))
 
 
 def recall_ceiling(spark, d):
@@ -245,8 +244,8 @@ def recall_ceiling(spark, d):
 
 
 def recall_ceiling_pivot(spark, d):
-    stages = ("bm25", "dense", "hybrid")
-    return _rounded(metrics.pivot_methods({s: metrics.recall_ceiling(_stage(spark, d, s, POOL), _qrels(spark, d), KS) for s in stages}), stages)
+    ceilings = metrics.recall_ceiling(runs.runs_of_stages(load(spark, d, "runs"), STAGES, POOL), _qrels(spark, d), KS, method="stage")
+    return _rounded(metrics.pivot_methods(ceilings, STAGES, "stage"), STAGES)
 
 
 def per_query_deltas(spark, d):
@@ -317,7 +316,7 @@ def _failures(spark, d):
     one, two = _both(spark, d)
     q = _qrels(spark, d)
     deltas = analysis.rank_deltas(one, two, q, _queries(spark, d), _corpus(spark, d))
-    pairs = metrics.paired(metrics.evaluate(one, q), metrics.evaluate(two, q))
+    pairs = metrics.evaluate_pair(one, two, q)
     return analysis.classify_failures(analysis.worst(pairs), deltas, _queries(spark, d), _corpus(spark, d))
 
 
