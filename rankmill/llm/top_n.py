@@ -211,9 +211,8 @@ def scan_top_n(uri: str, n_groups: int, n_ties: int, n: int) -> tuple[pa.Table,
 def top_n_of_clustered(files: DataFrame, kinds: T.StructType, groups: Sequence[str], item: str, score: str, ties: Sequence[str], n: int, place: str = "place") -> DataFrame:
     """The first ``n`` items of every group of the ``files`` that ``cluster_by_group`` listed; ``kinds`` is the schema of the table they hold.
 
-    A task scans some of the files; a last window merges the files of a group that
-    spans several, over at most ``n`` rows of it per file (and, by the window's group limit,
-    per partition).
+    A task scans some of the files; one shuffle by group merges the files of a group that
+    spans several, at most ``n`` rows of it per file.
     """
     n_groups, n_ties = len(groups), len(ties)
     keys = [f"__g{i}" for i in range(n_groups)]
@@ -227,7 +226,7 @@ def top_n_of_clustered(files: DataFrame, kinds: T.StructType, groups: Sequence[s
                 yield from scan_top_n(uri, n_groups, n_ties, n)[0].cast(arrow).combine_chunks().to_batches()
 
     each = files.select("uri").repartition(max(1, files.count()))  # names of files, to as many tasks
-    found = each.mapInArrow(scan, T.StructType([T.StructField(f, t) for f, t in zip(fields, types)]))
+    found = each.mapInArrow(scan, T.StructType([T.StructField(f, t) for f, t in zip(fields, types)])).repartition(*keys)  # both windows keep to this
     order = _orders(ties)
     once = found.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__item").orderBy(*order))).where("__n = 1")
     placed = once.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
