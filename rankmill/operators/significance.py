@@ -78,18 +78,21 @@ def bootstrap_replay(deltas: DataFrame, n_samples: int = 10_000, level: float =
     """The percentile interval of resampled means with Python's seeded generator, over the deltas in order of ``order``.
 
     A sequential generator needs the deltas in one place: this form is for as many deltas as
-    a judged query set has. ``bootstrap_hash`` has no such limit.
+    a judged query set has. ``bootstrap_hash`` has no such limit. Without a delta the query fails.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(parts) or [pd.DataFrame(columns=[order, delta])])
+        if p.empty:
+            raise ValueError("a bootstrap needs a delta")
         own = p.sort_values(order)[delta].to_numpy(dtype=float)
         d, n = own.tolist(), len(own)
         means = sorted(sum(own[drawn].tolist()) / n for drawn, _ in zip(replayed_draws(n, seed), range(n_samples)))
         low, high = (means[i] for i in _bounds(n_samples, level))
-        return pd.DataFrame([(sum(d) / n, low, high, level, n_samples, n, low > 0 or high < 0)], columns=["observed_mean_delta", "ci_lower", "ci_upper", "confidence_level", "n_samples", "n_queries", "significant"])
+        yield pd.DataFrame([(sum(d) / n, low, high, level, n_samples, n, low > 0 or high < 0)], columns=["observed_mean_delta", "ci_lower", "ci_upper", "confidence_level", "n_samples", "n_queries", "significant"])
 
-    rows = deltas.select(order, delta, F.lit(1).alias("__one")).where(F.col(delta).isNotNull())
-    return rows.groupBy("__one").applyInPandas(run, "observed_mean_delta double, ci_lower double, ci_upper double, confidence_level double, n_samples int, n_queries long, significant boolean")
+    rows = deltas.select(order, delta).where(F.col(delta).isNotNull())
+    return rows.repartition(1).mapInPandas(run, "observed_mean_delta double, ci_lower double, ci_upper double, confidence_level double, n_samples int, n_queries long, significant boolean")
 
 
 #: Modulus and multipliers of the hash that draws resamples; products stay within 64 bits.
@@ -115,6 +118,7 @@ def bootstrap_hash(deltas: DataFrame, n_samples: int = 10_000, level: float = 0.
     """A bootstrap interval that needs no order and no single place: each row's count in each resample is a hash of both (Poisson bootstrap).
 
     A partition adds up n_samples weighted sums; only these are shuffled. ``key`` is an integer that is unique per row.
+    Without a delta the query fails.
     """
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +133,9 @@ def bootstrap_hash(deltas: DataFrame, n_samples: int = 10_000, level: float = 0.
         yield pd.DataFrame({"b": b, "s": total, "n": count})
 
     rows = deltas.select(F.col(key).cast("long").alias(key), F.col(delta).cast("double").alias(delta)).where(F.col(delta).isNotNull() & F.col(key).isNotNull())
-    means = rows.mapInPandas(sums, "b long, s double, n long").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
-    low, high = (i + 1 for i in _bounds(n_samples, level))
+    means = rows.mapInPandas(sums, "b long, s double, n long").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))  # null where no row enters a resample
     packed = means.agg(F.array_sort(F.collect_list("m")).alias("ms"))  # n_samples numbers
-    return packed.select(F.round(F.element_at("ms", low), 9).alias("ci_lower"), F.round(F.element_at("ms", high), 9).alias("ci_upper"))
+    size, alpha = F.size("ms"), 1.0 - level  # of the resamples that any row entered; see _bounds
+    low, high = F.floor(F.lit(alpha / 2) * size).cast("int"), F.least(F.floor(F.lit(1 - alpha / 2) * size).cast("int") - 1, size - 1)
+    low = F.when(size == 0, F.raise_error(F.lit("a bootstrap needs a delta"))).otherwise(low)
+    return packed.select(F.round(F.col("ms")[low], 9).alias("ci_lower"), F.round(F.col("ms")[high], 9).alias("ci_upper"))

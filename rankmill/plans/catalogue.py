@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions import text as X
 from rankmill.operators import analysis, bm25, dense, hybrid, metrics, prep, rerank, runs, significance
-from rankmill.operators.storage import load, materialize
+from rankmill.operators.storage import load, materialize, new_path
+from rankmill.sources import io
+from rankmill.utils.runtime import summarise
 
 KS = (5, 10, 20, 50, 100)
 #: Places of a run that fusion, recall ceilings and mining look at; packing and evaluation take whole runs.
@@ -308,6 +310,14 @@ def semantic_drift(spark, d):
     return analysis.semantic_drift(_stage(spark, d, "dense", POOL), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), None)
 
 
+def lexical_mismatch_top5(spark, d):
+    return analysis.lexical_mismatch(_stage(spark, d, "bm25", POOL), _stage(spark, d, "dense", POOL), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), 5)
+
+
+def semantic_drift_top5(spark, d):
+    return analysis.semantic_drift(_stage(spark, d, "dense", POOL), _qrels(spark, d), _queries(spark, d), _corpus(spark, d), 5)
+
+
 def worst5(spark, d):
     return _rounded(analysis.worst(_pairs(spark, d)), ("stage1", "stage2", "delta"))
 
@@ -336,6 +346,50 @@ def truncated_relevant(spark, d):
     return analysis.truncated_relevant(_deltas(spark, d))
 
 
+def timing_summary(spark, d):
+    """Logged values taken as timings: each kind of event, and their total run by run."""
+    run = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    timings = load(spark, d, "events").where("value IS NOT NULL AND event_type IS NOT NULL").select(F.col("event_type").alias("operation"), run.alias("run"), F.col("value").alias("ms"))
+    return summarise(timings)
+
+
+# --- files
+
+
+def read_back_collection(spark, d):
+    """A collection written as JSON lines and tab-separated judgments, read raw; its judged documents in the order of the lines."""
+    folder = new_path(spark, "collection")
+    _corpus(spark, d).select(F.col("doc_id").alias("_id"), "title", F.col("text_raw").alias("text")).orderBy("_id").write.json(f"{folder}/corpus")
+    _queries(spark, d).select(F.col("query_id").alias("_id"), F.col("query_raw").alias("text")).write.json(f"{folder}/queries")
+    _qrels(spark, d).select("query_id", "doc_id", "relevance").write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels")
+    corpus, asked, qrels = io.read_collection(spark, f"{folder}/corpus", f"{folder}/queries", f"{folder}/qrels")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("corpus_ord"))
+    return qrels.join(corpus, "doc_id").join(asked, "query_id").select("query_id", "query_text", "doc_id", "title", "abstract", "relevance", place.alias("place"))
+
+
+def read_back_prepared(spark, d):
+    folder = new_path(spark, "prepared")
+    io.write_prepared(folder, _corpus(spark, d).select("doc_id", "title", "text_raw", "n_tokens", "has_abbrev"), _queries(spark, d), _qrels(spark, d))
+    corpus, asked, qrels = io.read_prepared(spark, folder)
+    return qrels.join(corpus, "doc_id").join(asked, "query_id").select("query_id", "doc_id", "relevance", "title", F.col("n_tokens").cast("string").alias("n_tokens"), "query_norm")
+
+
+def read_back_run(spark, d):
+    """Two stages written to one table of runs, one of them twice; the other is read."""
+    folder = new_path(spark, "runs")
+    for stage in ("bm25", "dense", "dense"):
+        io.write_run(_stage(spark, d, stage, POOL), stage, folder)
+    return io.read_run(spark, "bm25", folder)
+
+
+def read_back_table(spark, d):
+    """A result table through CSV, with explicit types: ids stay strings."""
+    path = new_path(spark, "table")
+    rows = metrics.evaluate(_stage(spark, d, "dense"), _qrels(spark, d)).select("query_id", F.round("ndcg", 9).alias("ndcg"), F.round("mrr", 9).alias("mrr"))
+    io.write_table(rows, path)
+    return io.read_table(spark, path, rows.schema)
+
+
 def latency_summary(spark, d):
     """Median, p95, mean, least and most of logged values by kind of event."""
     v = F.col("value")
@@ -353,7 +407,8 @@ def queries() -> dict:
             queries_with_several_judgments, ambiguous_abbrevs, term_df_idf, bm25_scores, bm25_topk, dense_topk, rrf_hybrid_topk, hybrid_topk, hybrid_own_topk, packed_runs, unpacked_runs,
             rerank_overlap_topk, truncation_rate, pair_trace, model_trace, grid_k, grid_gap, metrics_per_query, metrics_mrr_cut, metrics_unjudged_too, metrics_aggregate, recall_ceiling, recall_ceiling_pivot,
             per_query_deltas, compare_runs, wilcoxon_stats, wilcoxon_p, bootstrap_hash_ci, bootstrap_replay_ci, rank_delta_table, ndcg_delta, case_selection, case_evidence,
-            lexical_mismatch, semantic_drift, worst5, failure_causes, cause_histogram, truncated_failures, truncated_relevant, latency_summary,
+            lexical_mismatch, semantic_drift, lexical_mismatch_top5, semantic_drift_top5, worst5, failure_causes, cause_histogram, truncated_failures, truncated_relevant, latency_summary, timing_summary,
+            read_back_collection, read_back_prepared, read_back_run, read_back_table,
         )
     }
 

@@ -233,3 +233,13 @@ b AS (SELECT count(*) AS n_raw, count(*) FILTER (trim(coalesce(text_raw, '')) =
 a AS (SELECT count(*) AS n_kept, count(*) FILTER (regexp_matches(coalesce(text_raw, ''), '{ABBREV}')) AS n_abbrev FROM k)
 SELECT *, round(100.0::DOUBLE * n_abbrev / n_kept, 6) AS pct_abbrev, n_raw - n_kept AS n_removed, n_html_title + n_html_abstract AS n_html, n_latex_title + n_latex_abstract AS n_latex FROM a, b""",
 }
+SQL["lexical_mismatch_top5"] = f"{SQL['lexical_mismatch']} ORDER BY query_id, doc_id LIMIT 5"
+SQL["semantic_drift_top5"] = f"{SQL['semantic_drift']} ORDER BY query_id, dense_rank LIMIT 5"
+SQL["timing_summary"] = """WITH t AS (SELECT event_type AS operation, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run, value AS ms FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+u AS (SELECT operation, ms FROM t UNION ALL SELECT 'total', sum(ms) FROM t GROUP BY run HAVING count(DISTINCT operation) = (SELECT count(DISTINCT operation) FROM t) AND (SELECT count(DISTINCT operation) FROM t) > 1)
+SELECT operation, round(quantile_cont(ms, 0.5), 3) AS p50_ms, round(quantile_cont(ms, 0.95), 3) AS p95_ms, round(avg(ms), 3) AS mean_ms, round(min(ms), 3) AS min_ms, round(max(ms), 3) AS max_ms, count(*) AS n_runs FROM u GROUP BY 1"""
+SQL["read_back_collection"] = f"""{BASE}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS line FROM corpus)
+SELECT query_id, query_raw AS query_text, doc_id, title, text_raw AS abstract, relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY line) AS INTEGER) AS place FROM judged JOIN numbered USING (doc_id) JOIN queries USING (query_id)"""
+SQL["read_back_prepared"] = f"{BASE} SELECT query_id, doc_id, relevance, title, CAST(n_tokens AS VARCHAR) AS n_tokens, query_norm FROM judged JOIN corpus USING (doc_id) JOIN queries USING (query_id)"
+SQL["read_back_run"] = f"{BASE} SELECT query_id, doc_id, rank, score FROM run_bm25100"
+SQL["read_back_table"] = f"{BASE} SELECT query_id, round(ndcg, 9) AS ndcg, round(mrr, 9) AS mrr FROM ev_dense"

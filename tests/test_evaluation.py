@@ -113,6 +113,13 @@ def test_bootstrap(spark):
     assert h.ci_lower == pytest.approx(a.ci_lower, abs=0.003) and h.ci_upper == pytest.approx(a.ci_upper, abs=0.003)
 
 
+def test_a_bootstrap_of_nothing_fails(spark):
+    none = spark.createDataFrame([("q", 1, None)], "query_id string, row long, delta double")
+    for run_ in (significance.bootstrap_replay, significance.bootstrap_hash):
+        with pytest.raises(Exception, match="needs a delta"):
+            run_(none, 10).collect()
+
+
 @pytest.mark.parametrize("n,seed", [(1, 42), (2, 1), (300, 42), (256, 7), (1000, 42)])
 def test_replayed_draws(n, seed):
     rng, draws = random.Random(seed), significance.replayed_draws(n, seed)
