@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions import text as X
+from rankmill.operators.skew import HOT_SHARE, lookup
+from rankmill.operators.storage import materialize, spread
 
 
 def clean_corpus(raw: DataFrame, with_title: bool = True) -> DataFrame:
@@ -24,19 +26,22 @@ def clean_corpus(raw: DataFrame, with_title: bool = True) -> DataFrame:
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of lowest ``order`` for each key; rows that tie in both all stay.
 
-    Only (key, order) is aggregated, combined before its shuffle, so that a key with many rows is
-    spread; the rows then meet the (key, order) that are kept, each pair in a place of its own.
+    Only (key, order) is shuffled to find the rows that are not the first of their key, a key with many rows by
+    broadcast. The others are what doesn't meet them: copies are few, so the whole rows seldom have to move.
     """
-    first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi").select(*df.columns)
+    keys = materialize(df.select(key, order), "keys")
+    total = keys.count()
+    first = keys.groupBy(key).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    later = lookup(keys, first, [key], F.col("__n") >= F.lit(HOT_SHARE * total)).where(F.col(order) > F.col("__first")).select(key, order)
+    return df.join(later, [key, order], "left_anti").select(*df.columns)
 
 
 def prepare_corpus(raw: DataFrame, with_title: bool = True) -> DataFrame:
     """The cleaned, deduplicated corpus with n_tokens and has_abbrev; ``corpus_ord`` must be unique.
 
-    Keys find the first of each set of copies; the cleaned texts are shuffled at most once, to meet the keys that stay.
+    Cleaned texts are written once. They are shuffled only where the copies are too many to be broadcast.
     """
-    cleaned = clean_corpus(raw, with_title)
+    cleaned = materialize(clean_corpus(spread(raw), with_title), "cleaned")
     return add_text_flags(keep_first(cleaned, "dedup_key", "corpus_ord")).drop("dedup_key")
 
 

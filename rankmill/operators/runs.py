@@ -35,19 +35,24 @@ def run_of_stage(runs: DataFrame, stage: str, depth: int | None = None) -> DataF
 
 
 def reciprocal_rank_fusion(runs: Sequence[DataFrame], k: int = 60, top_k: int = 20, digits: int = 12) -> DataFrame:
-    """query_id, doc_id, rrf and rank of the fused ranking of any number of runs.
-
-    A union and one aggregation stand for the outer join. Equal sums keep the order in which
-    the documents are first seen: by rank in the first run that has them, run by run. Sums
-    are rounded to ``digits`` before they are compared, as their order of addition is free.
-    """
+    """query_id, doc_id, rrf and rank of the fused ranking of any number of runs; see ``fuse_lists``."""
     tagged = [r.select("query_id", "doc_id", "rank", F.lit(i).alias("list")) for i, r in enumerate(runs)]
     union = tagged[0]
     for t in tagged[1:]:
         union = union.unionByName(t)
-    places = [F.min(F.when(F.col("list") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(len(runs))]
-    fused = union.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), digits).alias("rrf"), *places)
-    order = [F.desc("rrf"), *[F.asc_nulls_last(f"rank_{i}") for i in range(len(runs))], F.asc("doc_id")]
+    return fuse_lists(union, "list", range(len(runs)), k, top_k, digits)
+
+
+def fuse_lists(ranked: DataFrame, which: str, lists: Sequence, k: int = 60, top_k: int = 20, digits: int = 12) -> DataFrame:
+    """query_id, doc_id, rrf and rank of the fusion of the ``lists`` that the column ``which`` tells apart.
+
+    One aggregation stands for the outer join. Equal sums keep the order in which
+    the documents are first seen: by rank in the first list that has them, list by list. Sums
+    are rounded to ``digits`` before they are compared, as their order of addition is free.
+    """
+    places = [F.min(F.when(F.col(which) == x, F.col("rank"))).alias(f"rank_{i}") for i, x in enumerate(lists)]
+    fused = ranked.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), digits).alias("rrf"), *places)
+    order = [F.desc("rrf"), *[F.asc_nulls_last(f"rank_{i}") for i in range(len(places))], F.asc("doc_id")]
     return rank_rows(fused, order, top_k).select("query_id", "doc_id", "rrf", "rank")
 
 

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.operators.skew import HOT_SHARE, lookup, rank_in_groups
-from rankmill.operators.storage import materialize
+from rankmill.operators.skew import running_total
 
 
 def normal_p(z: float) -> float:
@@ -21,24 +20,22 @@ def normal_p(z: float) -> float:
 
 
 def signed_ranks(deltas: DataFrame, delta: str = "delta", digits: int | None = None) -> DataFrame:
-    """(d, abs_rank) of each non-zero delta: average ranks of the absolute values, ascending, ties by exact value or after rounding.
+    """(a, n, n_pos, abs_rank): each absolute value of the non-zero deltas, how many have it, how many of these are positive, and its average rank, ascending.
 
-    Ranks come from range partitions, so no single task sorts all deltas.
+    Ties are by exact value or after rounding. They are aggregated before anything is ranked, and ranks come from
+    range partitions, so no single task has all deltas or all of a tie.
     """
     d = F.col(delta) if digits is None else F.round(delta, digits)
-    rows = deltas.select(d.alias("d")).where("d <> 0 AND NOT isnan(d)").withColumn("a", F.abs("d")).withColumn("one", F.lit(1))
-    rows = materialize(rows, "deltas")  # read three times below
-    ranked = rank_in_groups(rows, ["one"], "a", "down")
-    total, ties = rows.count(), rows.groupBy("a").agg(F.count("*").alias("t"))
-    tied = lookup(ranked, ties, ["a"], F.col("t") >= F.lit(HOT_SHARE * total))
-    return tied.select("d", (total - F.col("down") + 1 - (F.col("t") - 1) / 2.0).alias("abs_rank"))
+    rows = deltas.select(d.alias("d")).where("d <> 0 AND NOT isnan(d)")
+    ties = rows.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("n_pos"))
+    return running_total(ties, "a", "n").select("a", "n", "n_pos", (F.col("before") + (F.col("n") + 1) / 2.0).alias("abs_rank"))
 
 
 def wilcoxon_sums(deltas: DataFrame, delta: str = "delta", digits: int | None = None) -> DataFrame:
     """One row: n_nonzero, w_pos, w_neg, w_stat and z, with continuity but without tie correction."""
-    r, d = F.col("abs_rank"), F.col("d")
-    zero = F.lit(0.0)
-    sums = signed_ranks(deltas, delta, digits).agg(F.count("*").alias("n_nonzero"), F.coalesce(F.sum(F.when(d > 0, r).otherwise(zero)), zero).alias("w_pos"), F.coalesce(F.sum(F.when(d < 0, r).otherwise(zero)), zero).alias("w_neg"))
+    r, zero = F.col("abs_rank"), F.lit(0.0)
+    own = signed_ranks(deltas, delta, digits)
+    sums = own.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_nonzero"), F.coalesce(F.sum(F.col("n_pos") * r), zero).alias("w_pos"), F.coalesce(F.sum((F.col("n") - F.col("n_pos")) * r), zero).alias("w_neg"))
     n = F.col("n_nonzero").cast("double")
     mean, std = n * (n + 1) / 4.0, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
     z = (F.col("w_pos") - mean - 0.5 * F.when(F.col("w_pos") > mean, 1.0).otherwise(-1.0)) / std

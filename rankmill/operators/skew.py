@@ -98,3 +98,25 @@ def rank_in_groups(df: DataFrame, groups: Sequence[str], score: str, rank: str =
         cond = cond & F.col(g).eqNullSafe(F.col(f"__b{i}"))
     joined = ranked.join(b, (F.col("__pid") == F.col("__bpid")) & cond, "left")
     return joined.select(*df.columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).alias(rank))
+
+
+def running_total(df: DataFrame, order: str, value: str, total: str = "before") -> DataFrame:
+    """Adds the sum of ``value`` (BIGINT) over the rows of lower ``order``, whose values must be distinct and not null.
+
+    Rows are range-partitioned, so none of them all are in one place; a partition adds up its own, and a row for each
+    partition carries what comes before it.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__local", T.LongType())])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, so_far = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = so_far + np.cumsum(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), pid, np.int32)), pa.array(sums - own)], names=[*batch.schema.names, "__pid", "__local"])
+            so_far = int(sums[-1]) if len(sums) else so_far
+
+    summed = materialize(df.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(local, schema), "totals")
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = summed.groupBy("__pid").agg(F.sum(value).alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(earlier), F.lit(0))).select("__pid", "__before")
+    return summed.join(F.broadcast(parts), "__pid").select(*df.columns, (F.col("__local") + F.col("__before")).alias(total))

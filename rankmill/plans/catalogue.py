@@ -38,7 +38,8 @@ def _stage(spark: SparkSession, d: str, stage: str, depth: int | None = None) ->
 
 
 def _fused(spark: SparkSession, d: str, top_k: int = 20) -> DataFrame:
-    return runs.reciprocal_rank_fusion([_stage(spark, d, "bm25", POOL), _stage(spark, d, "dense", POOL)], 60, top_k)
+    lists = ("bm25", "dense")
+    return runs.fuse_lists(runs.runs_of_stages(load(spark, d, "runs"), lists, POOL), "stage", lists, 60, top_k)
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankmill.operators.skew import lookup, rank_in_groups
+from rankmill.operators.skew import lookup, rank_in_groups, running_total
 from rankmill.operators.storage import load, materialize, shared_dir
 
 
@@ -67,3 +67,11 @@ def test_rank_in_groups_matches_window(spark):
 
 def test_rank_in_groups_of_nothing(spark):
     assert rank_in_groups(spark.createDataFrame([], "g string, s double"), ["g"], "s").count() == 0
+
+
+def test_running_total(spark):
+    rng = random.Random(22)
+    rows = [(float(x), rng.randrange(5)) for x in rng.sample(range(1000), 400)]
+    got = {r.x: r.before for r in running_total(spark.createDataFrame(rows, "x double, n long").repartition(5), "x", "n").collect()}
+    assert got == {x: sum(n for y, n in rows if y < x) for x, _ in rows}
+    assert running_total(spark.createDataFrame([], "x double, n long"), "x", "n").count() == 0
