@@ -2,8 +2,8 @@
 
 Each column's values are brought to a canonical form and exchanged for integer identifiers by
 a dictionary of the distinct canonical values; a record becomes a sorted tuple of (field,
-identifier) integers, and these compact tuples are grouped. Whole texts are never shuffled:
-the dictionaries are keyed by 128 bits of the value's SHA-256.
+identifier) integers, and these compact tuples are grouped. Stored values that are equal are brought to
+canonical form once. Dictionaries are keyed by 128 bits of the value's SHA-256, so whole texts seldom move.
 """
 
 from __future__ import annotations
@@ -60,6 +60,25 @@ def collapse(encoded: DataFrame, item: str) -> DataFrame:
     return encoded.groupBy("fields_ids").agg(F.min(item).alias("kept"), F.count("*").alias("copies"))
 
 
+def canonical_records(df: DataFrame, item: str, title: str, text: str) -> DataFrame:
+    """(item, f0, f1): the keys of each record's canonical title and rest; written once, each item and pair of stored values once.
+
+    The two columns depend on each other (``title_and_rest``), so what is canonicalised is the pair. Of the rows that store
+    the same pair only the first (smallest item) is; the others are taken out before that, by their keys, and look its result up.
+    """
+    stored = F.concat(F.when(F.col(title).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.length(title).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(title), F.lit("")), F.col(text))
+    rows = df.where(F.col(item).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(item).alias("item"), F.col(title).alias("t"), F.col(text).alias("x"), value_key(stored).alias("stored"))
+    keys = materialize(rows.select("item", "stored").distinct(), "stored")
+    hot = F.col("n") >= F.lit(HOT_SHARE * keys.count())
+    first = keys.groupBy("stored").agg(F.min("item").alias("first"), F.count("*").alias("n"))
+    later = lookup(keys, first.where("n > 1"), ["stored"], hot).where("item > first").select("stored", "item")
+    t, rest = title_and_rest(F.col("t"), F.col("x"))
+    values = rows.join(later, ["stored", "item"], "left_anti").select("stored", value_key(t).alias("f0"), value_key(rest).alias("f1"))
+    # A row that stands twice is the first twice.
+    values = materialize(values.groupBy("stored").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")), "values")
+    return materialize(lookup(keys, values.join(first.select("stored", "n"), "stored"), ["stored"], hot).select("item", "f0", "f1").distinct(), "records")
+
+
 def copies_of_records(df: DataFrame, item: str, title: str, text: str) -> DataFrame:
     """(kept_id, copy_id) for each further copy of a record, kept_id its smallest item.
 
@@ -68,9 +87,7 @@ def copies_of_records(df: DataFrame, item: str, title: str, text: str) -> DataFr
     a null item are left out; an item that stands twice is one row. A record that a third of
     all rows repeat is joined to its kept item by broadcast.
     """
-    t, rest = title_and_rest(F.col(title), F.col(text))
-    rows = df.where(F.col(item).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(item).alias("item"), value_key(t).alias("f0"), value_key(rest).alias("f1"))
-    rows = materialize(rows.distinct(), "records")
+    rows = canonical_records(df, item, title, text)
     encoded = materialize(encode(rows, "item", ["f0", "f1"]), "encoded")
     total = rows.count()
     groups = collapse(encoded, "item").where("copies > 1")

@@ -387,6 +387,17 @@ def test_copies(spark):
     assert dress.copies_of_records(df.limit(0), "id", "title", "x").count() == 0
 
 
+def test_equal_values_are_canonicalised_once(spark, monkeypatch):
+    """Fifty rows that store the same pair, one that dresses it otherwise, one whose title and text only join to the same characters."""
+    data = [(f"a{i:02}", "Ti", "Ti tle text") for i in range(50)] + [("b", "TI", "ti: tle, text"), ("c", "Ti tle", " text"), ("d", None, "Ti tle text"), ("e", "", "Ti tle text"), ("a00", "Ti", "Ti tle text"), ("a01", "Ti", "ti tle text!")]
+    df = spark.createDataFrame(data, "id string, title string, x string")
+    seen = []
+    monkeypatch.setattr(dress, "materialize", lambda d, tag, keep=dress.materialize: seen.append((tag, keep(d, tag))) or seen[-1][1])
+    want = [("a00", f"a{i:02}") for i in range(1, 50)] + [("a00", "b"), ("d", "e")]
+    assert rows(dress.copies_of_records(df, "id", "title", "x")) == sorted(want)
+    assert dict(seen)["values"].count() == len({(t, x) for _, t, x in data})
+
+
 # 7
 
 HARD = ["", " ", "  a", "a  ", "\n\n  x\r\ny", "it's we'll I'M", "aaaaaaaaaaaaaaaaa" * 40, " " * 300, "日本語テキスト 中文", "naïve ﬁ é ​﻿", "<|endoftext|> a", "👩‍👩‍👧 \U0001f600", "x\x1cy\x1f \x85z　w ", "1234567890 3.14 ½", "\x00\x01", "zzqqxxjj", "'S 'Re", "ÀÉ Ñandú", "İstanbul"]
