@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from rankmill.operators.storage import spread
 
-#: A clause has this many words or more (two Han or kana characters count as one word), and isn't longer than a sentence can be.
+#: A clause has this many words or more (nine Han or kana characters count as five words), and isn't longer than a sentence can be.
 LEAST_WORDS = 4
 SENTENCE = 60
+#: Nor has it more links than this part of its other words.
+LINKED = 0.2
 #: A closed phrase of up to so many words can be a keyword; it is one if other phrases share this part of its characters, in strings of SHARED words or more.
 KEYWORD = 7
 SHARED = 3
@@ -43,7 +45,7 @@ CROWDED = 0.6
 STUFFED = 0.5
 
 _link = re.compile(r"<a\s[^<>]*>[^<>]*(?:</a>)?|(?:https?://|www\.)[^\s<>]+|#\w+", re.IGNORECASE)
-_markup = re.compile(r"<(?!a\s)[^<>]*>|&(?:#x?\w{1,6}|\w{2,8});")
+_markup = re.compile(r"<(?!a\s)[a-zA-Z/!?][^<>]*>|&(?:#x?\w{1,6}|\w{2,8});")
 _character = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _symbol = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\u3040-\u30ff\u3400-\u9fff]+")
 
@@ -93,12 +95,14 @@ class Pages:
         if han.any():
             count = np.concatenate([[0], np.cumsum(han)])
             own = count[self.ends] - count[self.starts]
-            self.weight = np.where(own > 0, own / 2 + (own < self.ends - self.starts), 1.0)
+            self.weight = np.where(own > 0, own * 5 / 9 + (own < self.ends - self.starts), 1.0)
         self.begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])[:-1]])
         self.page = np.searchsorted(self.begins, self.starts, side="right") - 1
         self.last = np.append(self.page[1:] != self.page[:-1], True)[: len(self.page)]
         links = np.array(spans, dtype=np.int64).reshape(-1, 2)
         self.in_link = _within(self.starts, links)
+        own = np.where(self.in_link, np.searchsorted(links[:, 0], self.starts, side="right"), 0)
+        self.link_begins = self.in_link & np.append(True, own[1:] != own[:-1])[: len(own)]
         # What follows each word: a sentence end (closing marks may follow that), a mark of a list outside links, a comma, a line end.
         blank = np.append(kind[1:] & SPACE > 0, True)
         at = np.flatnonzero(kind & STOP)
@@ -158,7 +162,8 @@ def closed_phrases(page: Pages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     closed = np.zeros(n, dtype=bool)
     closed[phrase[page.stop]] = True  # a stop ends its phrase
     size = np.bincount(phrase, weights=page.weight * ~page.in_link, minlength=n)
-    clause = closed & (size >= LEAST_WORDS) & (size <= SENTENCE)
+    linked = np.bincount(phrase, weights=page.link_begins, minlength=n) > LINKED * size
+    clause = closed & (size >= LEAST_WORDS) & (size <= SENTENCE) & ~linked
     return phrase, clause[phrase], (clause & (size <= KEYWORD))[phrase]
 
 

@@ -731,6 +731,11 @@ def test_pages_together_are_judged_as_alone(spark, sf_dir, monkeypatch):
 
 def test_long_pages_and_marks():
     assert stuffing.stuffed_share("<" + "x " * 300 + "> " + SENTENCE * 3) == 0.0  # a tag of any length is markup
+    assert stuffing.stuffed_share("It fell (p < 0.02). " + SENTENCE * 3 + "\n" + SPAM * 8 + " > home") > 0.5  # a sign is none
+    urls = "\n".join(f"https://shop{i}.example/a{i}/b" for i in range(20))
+    assert stuffing.stuffed_share(urls + "\nmRNA levels followed the same pattern.") > 0.9
+    assert stuffing.stuffed_share(urls + "\n" + ". ".join(LOCAL) + ".") > 0.9
+    assert stuffing.stuffed_share("We describe it at https://host.example/page in full, and the tables are there. " * 8) == 0.0
     assert stuffing.stuffed_share(SENTENCE * 4 + "\ud800 lone \U000e0041") == 0.0
     rng = random.Random(20)
     names = [f"drug{i}" for i in range(9)]
