@@ -2,8 +2,8 @@
 
 Each column's values are brought to a canonical form and exchanged for integer identifiers by
 a dictionary of the distinct canonical values; a record becomes a sorted tuple of (field,
-identifier) integers, and these compact tuples are grouped. Stored values that are equal are brought to
-canonical form once. Dictionaries are keyed by 128 bits of the value's SHA-256, so whole texts seldom move.
+identifier) integers, and these compact tuples are grouped. Stored values that many rows share are brought to
+canonical form once. Dictionaries are keyed by 128 bits of the value's SHA-256, so whole texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -61,22 +61,24 @@ def collapse(encoded: DataFrame, item: str) -> DataFrame:
 
 
 def canonical_records(df: DataFrame, item: str, title: str, text: str) -> DataFrame:
-    """(item, f0, f1): the keys of each record's canonical title and rest; written once, each item and pair of stored values once.
+    """(item, f0, f1): the keys of each record's canonical title and rest; written once.
 
-    The two columns depend on each other (``title_and_rest``), so what is canonicalised is the pair. Of the rows that store
-    the same pair only the first (smallest item) is; the others are taken out before that, by their keys, and look its result up.
+    The two columns depend on each other (``title_and_rest``), so what is canonicalised is the pair. Of a pair that a
+    thousandth of the rows store, only the first row (smallest item) is; the others are taken out before that by a broadcast of
+    these few pairs, and get its result by another. A rarer pair is canonicalised row by row, as texts would have to be
+    shuffled to find its first.
     """
     stored = F.concat(F.when(F.col(title).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.length(title).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(title), F.lit("")), F.col(text))
     rows = df.where(F.col(item).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(item).alias("item"), F.col(title).alias("t"), F.col(text).alias("x"), value_key(stored).alias("stored"))
-    keys = materialize(rows.select("item", "stored").distinct(), "stored")
-    hot = F.col("n") >= F.lit(HOT_SHARE * keys.count())
-    first = keys.groupBy("stored").agg(F.min("item").alias("first"), F.count("*").alias("n"))
-    later = lookup(keys, first.where("n > 1"), ["stored"], hot).where("item > first").select("stored", "item")
+    keys = materialize(rows.select("item", "stored"), "stored")
+    least = F.lit(HOT_SHARE * keys.count())
+    often = materialize(keys.groupBy("stored").agg(F.min("item").alias("first"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n"), "often")  # fewer than 1 / HOT_SHARE
     t, rest = title_and_rest(F.col("t"), F.col("x"))
-    values = rows.join(later, ["stored", "item"], "left_anti").select("stored", value_key(t).alias("f0"), value_key(rest).alias("f1"))
-    # A row that stands twice is the first twice.
-    values = materialize(values.groupBy("stored").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")), "values")
-    return materialize(lookup(keys, values.join(first.select("stored", "n"), "stored"), ["stored"], hot).select("item", "f0", "f1").distinct(), "records")
+    once = rows.join(F.broadcast(often), "stored", "left").where("first IS NULL OR item = first")
+    known = materialize(once.select("item", value_key(t).alias("f0"), value_key(rest).alias("f1"), F.when(F.col("first").isNotNull(), F.col("stored")).alias("often")), "known")
+    shared = known.where("often IS NOT NULL").select(F.col("often").alias("stored"), "f0", "f1").distinct()
+    others = keys.join(F.broadcast(often), "stored").where("item <> first").join(F.broadcast(shared), "stored")
+    return materialize(known.select("item", "f0", "f1").unionByName(others.select("item", "f0", "f1")).distinct(), "records")
 
 
 def copies_of_records(df: DataFrame, item: str, title: str, text: str) -> DataFrame:
