@@ -17,7 +17,7 @@ KS = (5, 10, 20, 50, 100)
 #: Places of a run that fusion, recall ceilings and mining look at; packing and evaluation take whole runs.
 POOL = 100
 GRID = (5, 10, 20, 50)
-#: Resamples of both bootstraps, as in the reference's configuration.
+#: Resamples of both bootstraps.
 SAMPLES = 10_000
 
 
