@@ -1,8 +1,10 @@
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,51 @@ def test_scores_by_join_equal_full_scan(spark, collection):
             assert got.get((q, f"d{i:03}"), 0.0) == pytest.approx(s, abs=1e-6)
 
 
+def test_scores_shuffle_texts_only(spark, collection):
+    corpus, _, queries, _ = collection
+    plan = bm25.scores(corpus, queries, bm25.build(corpus))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scores_of_repeated_rows(spark):
+    # "a" has two texts, one of them twice in the same place; "b" two of one place but different lengths.
+    rows = [("a", "x y y", 0), ("a", "x y y", 0), ("a", "x z", 1), ("b", "y", 2), ("b", "x x w", 2), ("c", "v", 3), (None, "y z", 4), (None, "y", 5), ("d", None, 6), ("e", "u u", 7)]
+    corpus = spark.createDataFrame(rows, "doc_id string, text_norm string, corpus_ord long").repartition(3)
+    queries = spark.createDataFrame([("q", "X y"), ("q", "y v"), ("r", "unseen"), ("s", None), (None, "x")], "query_id string, query_norm string")
+    index = bm25.build(corpus)
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    part = lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / index.avgdl))
+    want = {
+        ("q", "a"): idf["x"] * (part(2, 3) + part(1, 2)) + 2 * idf["y"] * part(4, 3),
+        ("q", "b"): idf["x"] * part(2, 3) + 2 * idf["y"] * part(1, 1),
+        ("q", "c"): idf["v"] * part(1, 1),
+        ("q", None): 2 * idf["y"] * (part(1, 2) + part(1, 1)),
+    }
+    got = bm25.scores(corpus, queries, index).collect()
+    assert len(got) == len(want) and {(r.query_id, r.doc_id): r.score for r in got} == pytest.approx(want, abs=1e-6)
+
+
+def test_scores_in_small_blocks(spark, collection, monkeypatch):
+    corpus, _, queries, _ = collection
+    index = bm25.build(corpus)
+    want = sorted(map(tuple, bm25.scores(corpus, queries, index).collect()))
+    assert len(want) == len({x[:2] for x in want}) > 60
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, bm25.scores(corpus, queries, index).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    block = bm25.QueryBlock([("q1", "x", 1, 1.0), ("q2", "y", 1, -1.0), ("q2", "x", 1, 1.0), ("q3", "z", 1, 1.0)])
+    monkeypatch.setattr(bm25, "DOCS_AT_ONCE", 2)
+    monkeypatch.setattr(bm25, "PAIRS_AT_ONCE", 2)
+    rows = pa.record_batch([["a", "b", "c"], [0, 1, 2], ["x y", "y", "w"]], names=["doc_id", "o", "t"])
+    out = [b.to_pylist() for b in bm25._pair_scorer(SimpleNamespace(value=block), 6, 1.2, 0.75, 1.0)(iter([rows]))]
+    a, b = round(2.2 / (1 + 1.2 * (0.25 + 0.75 * 2)), 6), -1.0
+    # Terms that cancel each other are shared all the same.
+    assert [(r["query_id"], r["doc_id"], r["score"]) for x in out for r in x] == [("q1", "a", a), ("q2", "a", 0.0), ("q2", "b", b)]
+
+
 def test_negative_floor_ranks_below_zero(spark):
     corpus = spark.createDataFrame([("a", "x y", 0), ("b", "x y", 1), ("c", "z", 2)], "doc_id string, text_norm string, corpus_ord long")
     queries = spark.createDataFrame([("q", "x")], "query_id string, query_norm string")
